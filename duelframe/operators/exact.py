@@ -67,11 +67,17 @@ def cutoffs(df: DataFrame, sizes: dict[float, object], key: Key, seed: int) -> D
         .where((F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto")))
         .select("tag", "prefix", (F.col("k") - F.col("upto") + F.col("n")).alias("rank"))
     )
+    by_prefix = edges.groupBy("prefix").agg(
+        F.collect_list(F.struct("tag", "rank")).alias("wanted")
+    )
+    near = by_prefix.agg(F.map_from_entries(F.collect_list(F.struct("prefix", "wanted")))).scalar()
+    found = F.try_element_at(near, F.col("prefix"))
     in_prefix = Window.partitionBy("tag", "prefix").orderBy("place")
     return (
-        hashed.join(F.broadcast(edges), "prefix")
-        .withColumn("at", F.row_number().over(in_prefix))
-        .where("at = rank")
+        hashed.where(found.isNotNull())
+        .select("place", "prefix", F.inline(found))
+        .withColumn("nth", F.row_number().over(in_prefix))
+        .where("nth = rank")
         .select("tag", F.col("place").alias("cutoff"))
     )
 

@@ -66,6 +66,17 @@ def _flipped(label: str, df: DataFrame) -> Column:
     return F.when(F.col("noise_flipped"), turned).otherwise(F.col(label))
 
 
+def _cutoff_of_level(
+    counted: DataFrame, levels: Sequence[float], key: Key, seed: int
+) -> Column:
+    """The cutoffs of all levels in one scalar, a map by level."""
+    sizes = {check_level(level): share_of(level) for level in levels}
+    if not sizes:
+        raise ValueError("no noise level given")
+    found = cutoffs(counted, sizes, key, seed)
+    return found.agg(F.map_from_entries(F.collect_list(F.struct("tag", "cutoff")))).scalar()
+
+
 def noise_sweep(
     df: DataFrame,
     levels: Sequence[float] = LEVELS,
@@ -80,13 +91,9 @@ def noise_sweep(
     All cutoffs come from one count of the hashes; the copies are made and
     flipped in one pass over the rows.
     """
-    sizes = {check_level(level): share_of(level) for level in levels}
-    if not sizes:
-        raise ValueError("no noise level given")
-    found = cutoffs(_rows(df, split, train), sizes, key, seed)
-    by_level = found.agg(F.map_from_entries(F.collect_list(F.struct("tag", "cutoff")))).scalar()
+    by_level = _cutoff_of_level(_rows(df, split, train), levels, key, seed)
     copies = df.withColumn("_place", place(key, seed)).withColumn(
-        "noise_level", F.explode(F.array(*[F.lit(level) for level in sizes]))
+        "noise_level", F.explode(F.array(*[F.lit(float(level)) for level in levels]))
     )
     cutoff = F.try_element_at(by_level, F.col("noise_level"))
     chosen = _trained(split, train) & (F.col("_place") <= cutoff)
@@ -97,6 +104,33 @@ def noise_sweep(
     )
 
 
+def noise_marks(
+    df: DataFrame,
+    levels: Sequence[float] = LEVELS,
+    key: Key = "row_id",
+    seed: int = SEED,
+    split: str | None = "split",
+    train: str = "train",
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """The rows once, with ``flipped_at``: for each level whether the row is flipped."""
+    rows = _rows(df if counted is None else counted, split, train)
+    by_level = _cutoff_of_level(rows, levels, key, seed)
+    marks = [
+        F.coalesce(
+            _trained(split, train)
+            & (F.col("_place") <= F.try_element_at(by_level, F.lit(float(level)))),
+            F.lit(False),
+        )
+        for level in levels
+    ]
+    return (
+        df.withColumn("_place", place(key, seed))
+        .withColumn("flipped_at", F.array(*marks))
+        .drop("_place")
+    )
+
+
 NOISE_KINDS: dict[str, Callable[..., DataFrame]] = {"flip_labels": flip_labels}
 
 

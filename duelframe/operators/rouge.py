@@ -31,18 +31,19 @@ def rouge_n(
     """
     names = key_names(key)
 
-    def grams(text: str, in_prediction: int, in_reference: int) -> Column:
+    def grams(tokens: str, in_prediction: int, in_reference: int) -> Column:
         return F.transform(
-            ngrams(words(F.col(text)), n),
+            ngrams(F.col(tokens), n),
             lambda g: F.struct(
                 g.alias("gram"), F.lit(in_prediction).alias("p"), F.lit(in_reference).alias("r")
             ),
         )
 
-    both = F.concat(grams(prediction, 1, 0), grams(reference, 0, 1))
+    both = F.concat(grams("_p", 1, 0), grams("_r", 0, 1))
     counted = (
         df.select(*names, prediction, reference)
         .repartition(*names)
+        .select(*names, words(F.col(prediction)).alias("_p"), words(F.col(reference)).alias("_r"))
         .select(*names, F.explode_outer(both).alias("g"))
         .groupBy(*names, "g.gram")
         .agg(F.sum("g.p").alias("p"), F.sum("g.r").alias("r"))

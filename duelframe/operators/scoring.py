@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.functions.scores import activate
@@ -44,10 +45,6 @@ def score_responses(
     return df.withColumn(score, activate(scored(F.col(text)), activation))
 
 
-def _features(buckets: int, tokens: str, out: str) -> HashingTF:
-    return HashingTF(numFeatures=buckets, inputCol=tokens, outputCol=out)
-
-
 @dataclass(frozen=True)
 class LinearReward:
     """A Bradley-Terry model with a linear reward over hashed word counts.
@@ -71,12 +68,11 @@ class LinearReward:
 
     def score(self, df: DataFrame, text: str, score: str = "score") -> DataFrame:
         """Add the raw reward of a text column."""
-        tokens = df.withColumn("_one", words(F.col(text))).withColumn(
-            "_other", F.array().cast("array<string>")
-        )
+        hashed = _hashed(df, words(F.col(text)), "_first", self.buckets)
+        empty = F.array().cast("array<string>")
         return self.margin(
-            _side_by_side(_hashed(tokens, self.buckets)), score
-        ).drop("_one", "_other")
+            _side_by_side(_hashed(hashed, empty, "_second", self.buckets)), score
+        )
 
     def margin(self, pairs: DataFrame, margin: str) -> DataFrame:
         """Add reward(first) - reward(second) to rows with a ``_pair`` vector."""
@@ -86,20 +82,39 @@ class LinearReward:
         )
 
 
-def _hashed(df: DataFrame, buckets: int) -> DataFrame:
-    first = _features(buckets, "_one", "_one_tf").transform(df)
-    return _features(buckets, "_other", "_other_tf").transform(first)
+def _hashed(df: DataFrame, tokens: Column, out: str, buckets: int) -> DataFrame:
+    hashing = HashingTF(numFeatures=buckets, inputCol="_tokens", outputCol=out)
+    return hashing.transform(df.withColumn("_tokens", tokens)).drop("_tokens")
 
 
 def _side_by_side(df: DataFrame) -> DataFrame:
-    pair = VectorAssembler(inputCols=["_one_tf", "_other_tf"], outputCol="_pair")
-    return pair.transform(df).drop("_one_tf", "_other_tf")
+    pair = VectorAssembler(inputCols=["_first", "_second"], outputCol="_pair")
+    return pair.transform(df).drop("_first", "_second")
+
 
+def both_ways(
+    df: DataFrame, one: Column, other: Column, buckets: int, *keep: str
+) -> DataFrame:
+    """Every pair of texts twice, as ``_pair`` vectors: ``_way`` 0 has ``one`` first.
 
-def pair_features(df: DataFrame, one: str, other: str, buckets: int = 1 << 12) -> DataFrame:
-    """Hashed word counts of two text columns in one sparse vector ``_pair``."""
-    tokens = df.withColumn("_one", words(F.col(one))).withColumn("_other", words(F.col(other)))
-    return _side_by_side(_hashed(tokens, buckets)).drop("_one", "_other")
+    Each text is cut into words and hashed once.
+    """
+    texts = df.select(*keep, words(one).alias("_a"), words(other).alias("_b"))
+    hashed = _hashed(texts, F.col("_a"), "_one", buckets)
+    hashed = _hashed(hashed, F.col("_b"), "_other", buckets)
+    ways = F.posexplode(
+        F.array(
+            F.struct(F.col("_one").alias("first"), F.col("_other").alias("second")),
+            F.struct(F.col("_other").alias("first"), F.col("_one").alias("second")),
+        )
+    ).alias("_way", "_sides")
+    turned = hashed.select(*keep, ways).select(
+        *keep,
+        "_way",
+        F.col("_sides.first").alias("_first"),
+        F.col("_sides.second").alias("_second"),
+    )
+    return _side_by_side(turned)
 
 
 def fit_on_features(
@@ -130,21 +145,14 @@ def fit_linear_reward(
     max_iter: int = 30,
 ) -> LinearReward:
     """Fit the linear reward on text pairs, on MLlib's distributed optimiser."""
-    both_ways = df.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col(chosen).alias("one"), F.col(rejected).alias("other"), F.lit(1.0).alias("won")
-                ),
-                F.struct(
-                    F.col(rejected).alias("one"), F.col(chosen).alias("other"), F.lit(0.0).alias("won")
-                ),
-            )
-        )
-    )
-    return fit_on_features(
-        pair_features(both_ways, "one", "other", buckets), "won", reg, max_iter
-    )
+    ways = both_ways(df, F.col(chosen), F.col(rejected), buckets)
+    pairs = ways.select("_pair", (F.col("_way") == 0).cast("double").alias("won"))
+    # the optimiser reads them several times; a lost executor's part is computed again
+    pairs.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fit_on_features(pairs, "won", reg, max_iter)
+    finally:
+        pairs.unpersist()
 
 
 def weights(spark: SparkSession, reward: LinearReward) -> DataFrame:

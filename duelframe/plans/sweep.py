@@ -8,9 +8,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.operators.noise import LEVELS, SEED, flip_labels
+from duelframe.operators.noise import LEVELS, SEED, noise_marks
 from duelframe.operators.objectives import pairwise_accuracy
-from duelframe.operators.scoring import fit_on_features, pair_features
+from duelframe.operators.scoring import both_ways, fit_on_features
 
 
 def noise_vs_accuracy(
@@ -25,33 +25,28 @@ def noise_vs_accuracy(
     """Accuracy of the reward model on the unflipped validation split, per level.
 
     The texts are hashed once, both ways round; a flip only exchanges which of
-    the two ways won. The features are kept on executors (memory, then disk) for
+    the two ways won, so a row carries one label per level. The features are kept on executors (memory, then disk) for
     the optimiser's passes and are computed again where an executor is lost.
     """
-    texts = df.select(key, "split", "choice", F.col("summaries.text").alias("_texts"))
-    ways = texts.withColumn("_first", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        key,
+    texts = F.col("summaries.text")
+    features = both_ways(df, texts[0], texts[1], buckets, key, "split", "choice")
+    marked = noise_marks(features, levels, key, seed, counted=df.select(key, "split"))
+    right = F.col("_way") == F.col("choice")
+    kept = marked.select(
         "split",
-        "choice",
-        "_first",
-        F.col("_texts")[F.col("_first")].alias("_a"),
-        F.col("_texts")[F.lit(1) - F.col("_first")].alias("_b"),
-    )
-    kept = pair_features(ways, "_a", "_b", buckets).drop("_a", "_b")
-    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+        "_pair",
+        right.alias("_right"),
+        F.transform("flipped_at", lambda flipped: (flipped != right).cast("double")).alias("_won"),
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     train = kept.where("split = 'train'")
-    held = kept.where((F.col("split") != "train") & (F.col("_first") == F.col("choice")))
-    labels = df.select(key, "split")
+    held = kept.where("split <> 'train' AND _right").select("_pair")
 
     rows = []
-    for level in levels:
-        flipped = flip_labels(train, level, key, seed, counted=labels)
-        won = flipped.withColumn("_won", (F.col("_first") == F.col("choice")).cast("double"))
-        reward = fit_on_features(won.select("_pair", "_won"), "_won", reg, max_iter)
+    for at, level in enumerate(levels):
+        won = train.select("_pair", F.col("_won")[at].alias("_won"))
+        reward = fit_on_features(won, "_won", reg, max_iter)
         margins = reward.margin(held, "score_chosen").withColumn("score_rejected", F.lit(0.0))
-        rows.append(
-            pairwise_accuracy(margins).select(F.lit(float(level)).alias("noise_level"), "*").first()
-        )
+        rows.append((float(level), *pairwise_accuracy(margins).first()))
     kept.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "noise_level double, accuracy double, loss double, n bigint"
