@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Reserved tokens and their ids; vocabulary words follow them.
-EOS_TEXT = "<|endoftext|>"
+from duelframe.defaults import END_OF_TEXT, PADDING
+
+# Reserved tokens and their ids; vocabulary words follow them.
+EOS_TEXT = END_OF_TEXT
 UNK_TEXT = "<unk>"
-PAD_TEXT = "[PAD]"
+PAD_TEXT = PADDING
 EOS_ID = 0
 UNK_ID = 1
 PAD_ID = 2
 FIRST_WORD_ID = 3
 
-# A word, and a word or the end-of-text mark.
+# A word, and a word or the end-of-text mark.
 WORD = "[a-z0-9]+"
 WORD_OR_EOS = r"<\|endoftext\|>|[a-z0-9]+"
 

@@ -3,8 +3,8 @@
 from duelframe.operators.alignment import align_scores, kl_divergence, pair_runs
 from duelframe.operators.exact import sample_exact
 from duelframe.operators.frontier import frontier, run_summary
-from duelframe.operators.heads import VALIDATION_ROWS, validation_head
-from duelframe.operators.noise import LEVELS, Noise, add_noise, flip_labels, noise_sweep
+from duelframe.operators.heads import validation_head
+from duelframe.operators.noise import Noise, add_noise, flip_labels, noise_sweep
 from duelframe.operators.objectives import dpo_margin, pairwise_accuracy, rloo_advantage
 from duelframe.operators.rewards import (
     best_of_n,
@@ -26,8 +26,6 @@ from duelframe.operators.scoring import LinearReward, fit_linear_reward, score_r
 from duelframe.operators.vocabulary import Vocabulary, build_vocab, decode, encode
 
 __all__ = [
-    "LEVELS",
-    "VALIDATION_ROWS",
     "LinearReward",
     "Noise",
     "Vocabulary",

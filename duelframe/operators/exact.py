@@ -19,7 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.keys import Key, key_hash, key_value
+from duelframe.defaults import SAMPLING_SEED
+from duelframe.keys import Key, key_hash, key_names, key_value
 
 PREFIX = 4
 
@@ -72,17 +73,26 @@ def cutoffs(df: DataFrame, sizes: dict[float, object], key: Key, seed: int) -> D
     )
     near = by_prefix.agg(F.map_from_entries(F.collect_list(F.struct("prefix", "wanted")))).scalar()
     found = F.try_element_at(near, F.col("prefix"))
-    in_prefix = Window.partitionBy("tag", "prefix").orderBy("place")
-    return (
+    places = (
         hashed.where(found.isNotNull())
         .select("place", "prefix", F.inline(found))
-        .withColumn("nth", F.row_number().over(in_prefix))
-        .where("nth = rank")
-        .select("tag", F.col("place").alias("cutoff"))
+        .groupBy("tag", "prefix", "rank", "place")
+        .agg(F.count("*").alias("m"))
+    )
+    # a repeated key counts as often as it occurs, but no cut goes through it
+    upto = F.sum("m").over(Window.partitionBy("tag", "prefix").orderBy("place"))
+    whole = F.when(
+        F.col("upto") > F.col("rank"),
+        F.raise_error(F.lit(f"key {key_names(key)} is not unique")),
+    ).otherwise(F.col("place"))
+    return (
+        places.withColumn("upto", upto)
+        .where((F.col("upto") - F.col("m") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
+        .select("tag", whole.alias("cutoff"))
     )
 
 
-def sample_exact(df: DataFrame, n: int, key: Key, seed: int = 42) -> DataFrame:
+def sample_exact(df: DataFrame, n: int, key: Key, seed: int = SAMPLING_SEED) -> DataFrame:
     """Exactly ``n`` rows without replacement; more than there are is an error."""
     if n < 0:
         raise ValueError("n must not be negative")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelframe.defaults import VALIDATION_ROWS
 from duelframe.keys import Key, key_names, key_value
 
-VALIDATION_ROWS = 2000
-
 
 def head_end(df: DataFrame, n: int, key: Key, strict: bool = True) -> Column:
     """The key of the n-th row, as a scalar; ``strict`` raises when there is none.

@@ -8,21 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelframe.defaults import NOISE_KIND, NOISE_LEVELS, NOISE_SEED
 from duelframe.keys import Key
 from duelframe.operators.exact import check_level, cutoffs, place, share_of
 
-# The levels and the seed of the noise study.
-LEVELS = (0.0, 0.01, 0.05, 0.1, 0.2)
-SEED = 42
-
 
 @dataclass(frozen=True)
 class Noise:
     """What is done to the labels of the training split."""
 
     level: float = 0.0
-    seed: int = SEED
-    kind: str = "flip_labels"
+    seed: int = NOISE_SEED
+    kind: str = NOISE_KIND
 
 
 def _trained(split: str | None, train: str) -> Column:
@@ -37,7 +34,7 @@ def flip_labels(
     df: DataFrame,
     level: float,
     key: Key = "row_id",
-    seed: int = SEED,
+    seed: int = NOISE_SEED,
     label: str = "choice",
     split: str | None = "split",
     train: str = "train",
@@ -79,9 +76,9 @@ def _cutoff_of_level(
 
 def noise_sweep(
     df: DataFrame,
-    levels: Sequence[float] = LEVELS,
+    levels: Sequence[float] = NOISE_LEVELS,
     key: Key = "row_id",
-    seed: int = SEED,
+    seed: int = NOISE_SEED,
     label: str = "choice",
     split: str | None = "split",
     train: str = "train",
@@ -106,9 +103,9 @@ def noise_sweep(
 
 def noise_marks(
     df: DataFrame,
-    levels: Sequence[float] = LEVELS,
+    levels: Sequence[float] = NOISE_LEVELS,
     key: Key = "row_id",
-    seed: int = SEED,
+    seed: int = NOISE_SEED,
     split: str | None = "split",
     train: str = "train",
     counted: DataFrame | None = None,
@@ -131,7 +128,7 @@ def noise_marks(
     )
 
 
-NOISE_KINDS: dict[str, Callable[..., DataFrame]] = {"flip_labels": flip_labels}
+NOISE_KINDS: dict[str, Callable[..., DataFrame]] = {NOISE_KIND: flip_labels}
 
 
 def add_noise(df: DataFrame, noise: Noise, key: Key = "row_id", **more: object) -> DataFrame:

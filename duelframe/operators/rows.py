@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the default limit of both length filters.
-MAX_TOKENS = 128
+from duelframe.defaults import CANDIDATES, MAX_TOKENS
 
 
 def within(tokens: Column, limit: int = MAX_TOKENS) -> Column:
@@ -40,7 +39,7 @@ def to_kto(df: DataFrame, prompt: Column, chosen: Column, rejected: Column, *kee
     ).select(*keep, "ord", "prompt", "answer.completion", "answer.label")
 
 
-def repeat_queries(df: DataFrame, n: int = 4) -> DataFrame:
+def repeat_queries(df: DataFrame, n: int = CANDIDATES) -> DataFrame:
     """``n`` copies of every row, numbered from 0 in ``cand``."""
     if n < 1:
         raise ValueError("at least one copy is needed")

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duelframe.defaults import VOCAB_SIZE
 from duelframe.functions.tokens import (
     EOS_ID,
     EOS_TEXT,
@@ -23,9 +24,6 @@ from duelframe.functions.tokens import (
 )
 from duelframe.keys import Key, key_names
 
-# Fixed value: the vocabulary size of the model family that is tokenised for.
-VOCAB_SIZE = 50_257
-
 # A vocabulary up to this size goes to the executors; a larger one is joined.
 SHIPPED_WORDS = 200_000
 SHIPPED_BYTES = 64 << 20

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duelframe.defaults import CANDIDATES, RESPONSE_LENGTHS, SAMPLED_PROMPTS, SAMPLING_SEED
 from duelframe.functions.scores import activate, full_text
-from duelframe.keys import Key, key_names
+from duelframe.keys import Key, hashed_int, key_names
 from duelframe.operators.alignment import kl_divergence, pair_runs
 from duelframe.operators.exact import sample_exact
 from duelframe.operators.frontier import frontier, run_summary
@@ -18,10 +19,20 @@ from duelframe.operators.scoring import Scorer, score_responses
 
 
 def candidate_requests(
-    prompts: DataFrame, n_samples: int, n_best_of: int = 4, key: Key = "row_id", seed: int = 42
+    prompts: DataFrame,
+    n_samples: int = SAMPLED_PROMPTS,
+    n_best_of: int = CANDIDATES,
+    key: Key = "row_id",
+    seed: int = SAMPLING_SEED,
+    response_lengths: tuple[int, int] = RESPONSE_LENGTHS,
 ) -> DataFrame:
-    """The prompts to answer: an exact sample, each ``n_best_of`` times."""
-    return repeat_queries(sample_exact(prompts, n_samples, key, seed), n_best_of)
+    """The prompts to answer: an exact sample, each ``n_best_of`` times.
+
+    ``response_length`` is drawn once per prompt and shared by its copies.
+    """
+    length = hashed_int(key, seed, *response_lengths)
+    sample = sample_exact(prompts, n_samples, key, seed).withColumn("response_length", length)
+    return repeat_queries(sample, n_best_of)
 
 
 def evaluate_candidates(

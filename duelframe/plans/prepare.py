@@ -14,6 +14,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelframe.defaults import (
+    IGNORED_LABEL,
+    LM_LENGTH,
+    MAX_TOKENS,
+    SAMPLING_SEED,
+    VALIDATION_ROWS,
+)
 from duelframe.functions.chat import ROLE_LINES, ChatTemplate, messages, render_chat
 from duelframe.functions.pairs import chosen_text, post_text, rejected_text
 from duelframe.functions.tokens import (
@@ -25,22 +32,11 @@ from duelframe.functions.tokens import (
     words,
 )
 from duelframe.keys import hashed_int, key_value
-from duelframe.operators.heads import VALIDATION_ROWS, head_end
+from duelframe.operators.heads import head_end
 from duelframe.operators.noise import Noise, add_noise
-from duelframe.operators.rows import (
-    MAX_TOKENS,
-    pair_length_filter,
-    prompt_length_filter,
-    to_kto,
-    within,
-)
+from duelframe.operators.rows import prompt_length_filter, to_kto, within
 from duelframe.operators.vocabulary import Vocabulary, decode, encode
 
-# Bounds of a sampled prompt length, the second exclusive, and the
-# padded length of a language-model row.
-PROMPT_LENGTHS = (50, 128)
-LM_LENGTH = 550
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -58,7 +54,7 @@ class Settings:
     pad_side: str = "right"
     mask_pad: bool = False
     on_bad_row: str = "error"
-    seed: int = 42
+    seed: int = SAMPLING_SEED
     key: str = "row_id"
     encoding: str = "auto"
 
@@ -188,9 +184,10 @@ def _sft(df: DataFrame, s: Settings) -> DataFrame:
     )
     labels = F.col("input_ids")
     if s.mask_pad:
-        # fixed value: the label that a loss leaves out
         labels = F.zip_with(
-            "input_ids", "attention_mask", lambda i, m: F.when(m == 1, i).otherwise(F.lit(-100))
+            "input_ids",
+            "attention_mask",
+            lambda i, m: F.when(m == 1, i).otherwise(F.lit(IGNORED_LABEL)),
         )
     return padded.withColumn("labels", labels)
 

@@ -8,15 +8,16 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.operators.noise import LEVELS, SEED, noise_marks
+from duelframe.defaults import NOISE_LEVELS, NOISE_SEED
+from duelframe.operators.noise import noise_marks
 from duelframe.operators.objectives import pairwise_accuracy
 from duelframe.operators.scoring import both_ways, fit_on_features
 
 
 def noise_vs_accuracy(
     df: DataFrame,
-    levels: Sequence[float] = LEVELS,
-    seed: int = SEED,
+    levels: Sequence[float] = NOISE_LEVELS,
+    seed: int = NOISE_SEED,
     key: str = "row_id",
     buckets: int = 1 << 12,
     reg: float = 0.01,

@@ -9,9 +9,9 @@ from hypothesis import strategies as st
 from conftest import task_failure
 from pyspark.sql import functions as F
 
+from duelframe.defaults import NOISE_LEVELS as LEVELS
 from duelframe.keys import hashed_int
 from duelframe.operators import (
-    LEVELS,
     Noise,
     add_noise,
     flip_labels,
@@ -137,6 +137,18 @@ def test_sample_with_several_key_columns(spark):
     assert got == set(order[:17])
 
 
+def test_repeated_keys(spark):
+    """A repeated key is taken whole; a cut through it is an error, not a wrong size."""
+    keys = [0] * 30 + list(range(1, 21))
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "row_id long, at int")
+    order = sorted(keys, key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))
+    start = order.index(0)
+    for n in {start, start + 30, len(keys)} - {0}:
+        assert sorted(r.row_id for r in sample_exact(df, n, "row_id").collect()) == sorted(order[:n])
+    with task_failure("not unique"):
+        sample_exact(df, start + 7, "row_id").collect()
+
+
 @pytest.mark.parametrize("rows", [0, 9])
 def test_sample_larger_than_the_table(spark, rows):
     with task_failure("smaller table"):

@@ -76,6 +76,8 @@ def test_requests(spark):
     out = candidate_requests(spark.range(30).withColumnRenamed("id", "row_id"), 5, 4).collect()
     assert len(out) == 20 and len({r.row_id for r in out}) == 5
     assert {r.cand for r in out} == {0, 1, 2, 3}
+    lengths = {(r.row_id, r.response_length) for r in out}
+    assert len(lengths) == 5 and all(10 <= n < 25 for _, n in lengths)
     with pytest.raises(ValueError):
         repeat_queries(spark.range(1), 0)
 
@@ -175,6 +177,27 @@ def test_advantage(spark):
     assert sum(got[1, c] for c in range(3)) == pytest.approx(0)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 2, 100])
+def test_advantage_of_large_groups(spark, hot_rows):
+    rows = [("a", 1, c, float(c)) for c in range(30)] + [
+        ("a", 2, 0, 1.0),
+        ("a", 2, 1, 4.0),
+        (None, 1, 0, 2.0),
+        (None, 1, 1, 3.0),
+        ("b", 3, 0, None),
+    ]
+    df = spark.createDataFrame(rows, "run string, row_id long, cand int, reward double")
+    out = rloo_advantage(df, hot_rows=hot_rows)
+    assert out.columns == [*df.columns, "advantage"]
+    got = {(r.run, r.row_id, r.cand): r.advantage for r in out.collect()}
+    assert len(got) == len(rows)
+    total = sum(range(30))
+    for c in range(30):
+        assert got["a", 1, c] == pytest.approx(c - (total - c) / 29)
+    assert got["a", 2, 0] == pytest.approx(-3) and got[None, 1, 1] == pytest.approx(1)
+    assert got["b", 3, 0] is None
+
+
 def test_pairs_and_margins(spark):
     df = spark.createDataFrame(
         [(1.0, 0.0), (0.0, 2.0), (1.0, 1.0), (900.0, 0.0), (0.0, 900.0)],

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe import sources
+from duelframe.defaults import NOISE_LEVELS
 from duelframe.functions import (
     attention_mask,
     cut,
@@ -27,7 +28,6 @@ from duelframe.functions import (
 from duelframe.functions.tokens import WORD_OR_EOS
 from duelframe.keys import hashed_int
 from duelframe.operators import (
-    LEVELS,
     Noise,
     add_noise,
     align_scores,
@@ -61,7 +61,6 @@ from duelframe.operators import (
 )
 from duelframe.operators.batches import batch_map
 from duelframe.operators.scoring import weights
-from duelframe.operators.vocabulary import VOCAB_SIZE
 from duelframe.plans import (
     evaluate_candidates,
     evaluation_report,
@@ -163,10 +162,10 @@ def _add_noise(spark, sf_dir):
     SELECT noise_level, {_KEYS}, split, {_flipped_sql("noise_level")} AS noise_flipped,
            CASE WHEN {_flipped_sql("noise_level")} THEN 1 - choice ELSE choice END AS choice
     FROM verdict_order, train_size,
-         (SELECT CAST(unnest([{", ".join(map(str, LEVELS))}]) AS DOUBLE) AS noise_level)""",
+         (SELECT CAST(unnest([{", ".join(map(str, NOISE_LEVELS))}]) AS DOUBLE) AS noise_level)""",
 )
 def _noise_sweep(spark, sf_dir):
-    return noise_sweep(t.verdicts(spark, sf_dir), LEVELS, VERDICT_KEY)
+    return noise_sweep(t.verdicts(spark, sf_dir), NOISE_LEVELS, VERDICT_KEY)
 
 
 @query(
@@ -212,7 +211,8 @@ def _repeat_queries(spark, sf_dir):
 
 @query(
     "candidate_requests",
-    """SELECT conv_id, turn, text AS query, CAST(cand AS INTEGER) AS cand
+    f"""SELECT conv_id, turn, text AS query, CAST(cand AS INTEGER) AS cand,
+           {hashed_sql("conv_id || ':' || turn", 42, 10, 25)} AS response_length
     FROM (SELECT * FROM conversations WHERE role = 'user'
           ORDER BY md5('42:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)),
                    conv_id, turn LIMIT 10),

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelframe.defaults import VOCAB_SIZE
 from duelframe.functions.scores import activate
 from duelframe.keys import hashed_int
-from duelframe.operators.vocabulary import VOCAB_SIZE, Vocabulary, build_vocab
+from duelframe.operators.vocabulary import Vocabulary, build_vocab
 from duelframe.sources import spread
 
 
