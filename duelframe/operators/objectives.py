@@ -54,10 +54,10 @@ def rloo_advantage(
         )
         .alias("r")
     )
-    cold = sums.where(F.col("_rows") <= hot_rows).withColumn("_salt", F.lit(0).cast("bigint"))
-    joined = rows.join(
-        cold.alias("c"), same("c") & (F.col("r._salt") == F.col("c._salt")), "left"
-    )
+    # a value of the row, as a literal would be folded and drop out of the join key
+    salt = F.when(F.col("_rows") > hot_rows, F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+    cold = sums.withColumn("_salt", salt).alias("c")
+    joined = rows.join(cold, same("c") & (F.col("r._salt") == F.col("c._salt")), "left")
     total = F.coalesce("r._hot_sum", "c._sum")
     count = F.coalesce("r._hot_n", "c._n")
     own = F.col(f"r.{reward}")

@@ -34,7 +34,11 @@ def stream_reward_stats(
 
 
 def keep_latest(stats: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there and leave the whole current result as a table at ``path``."""
+    """Process what is there and leave the whole current result as a table at ``path``.
+
+    Windows still open are in it. Complete mode keeps every window's state; a log
+    without end is better served by ``append_closed``.
+    """
 
     def replace(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(path)
@@ -46,3 +50,17 @@ def keep_latest(stats: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         .foreachBatch(replace)
         .start()
     )
+
+
+def append_closed(stats: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what is there and append the windows that the watermark has passed.
+
+    State is dropped with them; rows later than the watermark are not counted.
+    """
+    return (
+        stats.writeStream.outputMode("append")
+        .format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(path)
+    )

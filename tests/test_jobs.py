@@ -23,7 +23,7 @@ from duelframe.operators.scoring import LinearReward, weights
 from duelframe.plans import noise_vs_accuracy, prepare
 from duelframe.schemas import BEST_OF, GAME_LOG, SCORES
 from duelframe.session import fresh_path
-from duelframe.streaming import keep_latest, stream_reward_stats
+from duelframe.streaming import append_closed, keep_latest, stream_reward_stats
 
 AWKWARD = ['say "hi"', "two\nlines", "a, b", "  leading", "trailing \\", "é — ü", 'q"\n,"']
 
@@ -120,6 +120,13 @@ def test_stream_equals_batch(spark, tmp_path):
     only = sources.read_game_log(spark, path, "run1")
     assert only.count() == 60
 
+    closed = str(tmp_path / "closed")
+    stream = stream_reward_stats(sources.stream_game_log(spark, path))
+    append_closed(stream, closed, str(tmp_path / "cp2")).awaitTermination()
+    done = rounded(spark.read.parquet(closed))
+    whole = rounded(stream_reward_stats(df))
+    assert 0 < len(done) < len(whole) and set(done) < set(whole)  # the last day is open
+
 
 def test_streamed_log(spark, tmp_path):
     first, second = str(tmp_path / "in"), str(tmp_path / "out")
@@ -134,7 +141,7 @@ def test_streamed_log(spark, tmp_path):
 
 def test_fresh_paths_lie_in_the_shared_folder(spark):
     one, two = fresh_path(spark, "x"), fresh_path(spark, "x")
-    assert one != two and one.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert one != two and one.startswith(spark.conf.get("spark.checkpoint.dir") + "/")
 
 
 def test_plug_in_scorer(spark):
@@ -274,7 +281,9 @@ def test_groups_are_combined_before_the_shuffle(spark):
         "'a' AS run", "id AS row_id", "1 AS cand", "'r' AS response", "0.5D AS score", "0.5D AS reward"
     )
     assert "partial_max" in plan(best_of_n(df))
-    advantage = plan(rloo_advantage(df))
+    advantage = plan(rloo_advantage(df, hot_rows=3))
     assert "partial_sum" in advantage and "Window" not in advantage
+    joins = [line for line in advantage.splitlines() if "Join [" in line]
+    assert len(joins) == 2 and "_salt" in joins[0].split("LeftOuter")[0]  # a join key
     kl = plan(kl_divergence(df, df.select("row_id", "score")))
     assert "partial_sum" in kl and "Python" not in kl and "CartesianProduct" not in kl
