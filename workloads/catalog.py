@@ -71,7 +71,7 @@ from duelframe.plans import (
 from duelframe.plans.evaluate import candidate_requests
 from duelframe.plans.prepare import Settings
 from duelframe.session import fresh_path
-from duelframe.streaming import keep_latest, stream_reward_stats
+from duelframe.streaming import append_closed, keep_latest, stream_reward_stats
 from workloads import inputs as t
 from workloads.inputs import (
     CANDIDATES_SQL,
@@ -1057,28 +1057,43 @@ def _snapshot(spark, sf_dir):
     )
 
 
-@query(
-    "stream_reward_stats",
-    f"""WITH {GAME_LOG_SQL}
+def _daily_sql(having: str = "") -> str:
+    return f"""WITH {GAME_LOG_SQL}
     SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, run,
            round(avg(reward), 6) AS reward_mean, round(stddev_samp(reward), 6) AS reward_std,
            count(*) AS n
-    FROM game_log GROUP BY ALL""",
-)
+    FROM game_log GROUP BY date_trunc('day', ts), run {having}"""
+
+
+def _arriving_log(spark, sf_dir):
+    schema = t.table(spark, sf_dir, "events").schema
+    # a pattern, as a stream does not start from a single file
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return t.as_game_log(events)
+
+
+@query("stream_reward_stats", _daily_sql())
 def _stream_reward_stats(spark, sf_dir):
-    events = t.table(spark, sf_dir, "events")
-    arriving = spark.readStream.schema(events.schema).parquet(
-        f"{sf_dir}/events.parque[t]"  # a pattern, as a stream does not start from a single file
-    )
     path = fresh_path(spark, "stream-stats")
-    stats = stream_reward_stats(t.as_game_log(arriving))
+    stats = stream_reward_stats(_arriving_log(spark, sf_dir))
     keep_latest(stats, path, fresh_path(spark, "stream-checkpoint")).awaitTermination()
     return _rounded(spark.read.parquet(path))
 
 
 @query(
-    "batch_reward_stats",
-    SQL["stream_reward_stats"],
+    "stream_closed_windows",
+    _daily_sql(
+        "HAVING date_trunc('day', ts) + INTERVAL 1 DAY"
+        " <= (SELECT max(ts) FROM game_log) - INTERVAL 1 HOUR"
+    ),
 )
+def _stream_closed_windows(spark, sf_dir):
+    path = fresh_path(spark, "stream-closed")
+    stats = stream_reward_stats(_arriving_log(spark, sf_dir), late="1 hour")
+    append_closed(stats, path, fresh_path(spark, "stream-checkpoint")).awaitTermination()
+    return _rounded(spark.read.parquet(path))
+
+
+@query("batch_reward_stats", _daily_sql())
 def _batch_reward_stats(spark, sf_dir):
     return _rounded(stream_reward_stats(t.game_log(spark, sf_dir)))
