@@ -91,11 +91,12 @@ def build_vocab(df: DataFrame, *texts: str, size: int = VOCAB_SIZE) -> Vocabular
 
 
 def _lists(values: pa.Array, like: pa.Array) -> pa.ListArray:
-    """Lists of ``values`` as long as the lists of ``like``, which has no nulls."""
+    """Lists of ``values`` as long as the lists of ``like``, and null where those are."""
     lengths = pc.fill_null(pc.list_value_length(like), 0)
     ends = pc.cumulative_sum(lengths.cast(pa.int32()))
     offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
-    return pa.ListArray.from_arrays(offsets, values)
+    missing = like.is_null() if like.null_count else None
+    return pa.ListArray.from_arrays(offsets, values, mask=missing)
 
 
 def encode(
@@ -161,9 +162,7 @@ def _encode_shipped(
         return _lists(pc.fill_null(numbers.take(at), UNK_ID), batch)
 
     to_ids = F.arrow_udf(look_up, "array<int>")
-    return df.withColumn(
-        ids, F.when(F.col(text).isNotNull(), to_ids(words(F.col(text), WORD_OR_EOS)))
-    )
+    return df.withColumn(ids, to_ids(words(F.col(text), WORD_OR_EOS)))
 
 
 def _decode_shipped(
@@ -179,7 +178,7 @@ def _decode_shipped(
         return pc.binary_join(_lists(known.take(at), batch), " ")
 
     to_text = F.arrow_udf(spell, "string")
-    return df.withColumn(text, F.when(ids.isNotNull(), to_text(ids)))
+    return df.withColumn(text, to_text(ids))
 
 
 def _in_row_order(place: str, value: Column) -> Column:
