@@ -15,6 +15,7 @@ from duelframe.llm import (
     leaks,
     lines,
     links,
+    oracle,
     quality,
     secret_scan,
     simhash,
@@ -101,4 +102,10 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_url_filters": oracle.url_filters(URL_RULES),
+    "op2_secret_scans": oracle.secret_scans(),
+    "op3_quality_rules": oracle.quality_rules(),
+    "op5_line_dedup": oracle.line_dedup(),
+    "op8_warc": oracle.warc(),
+}

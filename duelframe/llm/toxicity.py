@@ -4,7 +4,7 @@ The score is a weighted sum of hashed words; the chance of grade ``k`` or more i
 the logistic function of the score less the k-th threshold, so that all grades
 share the weights.
 
-A null text has no words, and the score of an empty one. Rows with an equal
+A null text has no words, and a text without words has the lowest grade. Rows with an equal
 doc_id are scored one by one. Rows without a grade teach nothing; without any,
 or with one grade alone, all texts have that grade (0 if there is none). An
 empty table gives no rows.
@@ -111,7 +111,7 @@ class Ordinal:
 
     def chances(self, score: float) -> np.ndarray:
         """The chance of each grade from 1 on, or more."""
-        return 1 / (1 + np.exp(np.clip(self.thresholds - score, -40, 40)))
+        return 1 / (1 + np.exp(np.clip(self.thresholds - score, -40, 700)))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Ordinal:
@@ -159,7 +159,8 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
             severities, grades = [], []
             for t in batch.to_pylist():
                 at, x = features(t)
-                chances = model.chances(float(model.weights[at] @ x))
+                none = len(at) == 0
+                chances = model.chances(-np.inf if none else float(model.weights[at] @ x))
                 severities.append(model.only + float(chances.sum()))
                 grades.append(model.only + int((chances >= 0.5).sum()))
             yield pa.StructArray.from_arrays(
