@@ -71,9 +71,13 @@ def records(pages: DataFrame) -> DataFrame:
     return joined.select(F.concat(head, F.lit(HTTP), held).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """A folder of uncompressed archives, one file per task."""
-    records(pages).write.option("lineSep", GAP).text(path)
+def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
+    """A folder of archives, one file per task.
+
+    A compressed archive is read by one task, piece by piece; files written with
+    ``none`` are split, however large.
+    """
+    records(pages).write.option("lineSep", GAP).option("compression", compression).text(path)
 
 
 def _parsed(data: bytes) -> tuple[dict[str, str], int] | None:
@@ -290,10 +294,10 @@ def _broken(spark: SparkSession, path: str, owned: DataFrame) -> DataFrame:
     return said.where("complete").select("page", "kind", "refers", "said", "bytes", "digest")
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, compression: str = "gzip") -> DataFrame:
     """Writes a record per page and reads the archives back."""
     path = fresh_path(pages.sparkSession, "warc")
-    write_archives(pages, path)
+    write_archives(pages, path, compression)
     return read_archives(pages.sparkSession, path).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )

@@ -345,7 +345,7 @@ def test_archives_give_back_every_page(spark, monkeypatch):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
-        assert count(archives.round_trip(pages.coalesce(1)).select(columns)) == want
+        assert count(archives.round_trip(pages.coalesce(1), "none").select(columns)) == want
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
