@@ -19,6 +19,5 @@ SAMPLED_PROMPTS = 2000
 CANDIDATES = 4
 
 # vocabulary
-VOCAB_SIZE = 50_257
 END_OF_TEXT = "<|endoftext|>"
 PADDING = "[PAD]"

@@ -8,10 +8,29 @@ from pyspark.sql import functions as F
 from duelframe.keys import Key, key_names
 
 
+def _once(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows; a repeated key is an error."""
+    values = [c for c in df.columns if c not in keys]
+    repeated = F.raise_error(F.lit(f"a key occurs twice: {list(keys)}"))
+    rows = df.groupBy(*keys).agg(
+        F.count("*").alias("_times"), *[F.first(v).alias(v) for v in values]
+    )
+    return rows.where(F.when(F.col("_times") == 1, True).otherwise(repeated)).select(*df.columns)
+
+
 def pair_runs(
-    policy: DataFrame, reference: DataFrame, key: Key = "row_id", *also: str
+    policy: DataFrame,
+    reference: DataFrame,
+    key: Key = "row_id",
+    *also: str,
+    unmatched: str = "error",
 ) -> DataFrame:
-    """Per row the policy's response and score, the reference's, and the uplift."""
+    """Per row the policy's response and score, the reference's, and the uplift.
+
+    A row without counterpart is an error, or left out with ``unmatched='drop'``.
+    """
+    if unmatched not in ("error", "drop"):
+        raise ValueError(f"unmatched must be error or drop, not {unmatched!r}")
     names = key_names(key)
     ours = policy.select(
         *names,
@@ -22,9 +41,15 @@ def pair_runs(
     theirs = reference.select(
         *names, F.col("response").alias("response_ref"), F.col("score").alias("score_ref")
     )
-    return ours.join(theirs, names).withColumn(
-        "uplift", F.col("score_best") - F.col("score_ref")
-    )
+    if unmatched == "drop":
+        paired = ours.join(theirs, names)
+    else:
+        ours, theirs = ours.withColumn("_ours", F.lit(1)), theirs.withColumn("_theirs", F.lit(1))
+        alone = F.raise_error(F.lit("a row without counterpart in the other run"))
+        both = F.col("_ours").isNotNull() & F.col("_theirs").isNotNull()
+        paired = ours.join(theirs, names, "full").where(F.when(both, True).otherwise(alone))
+        paired = paired.drop("_ours", "_theirs")
+    return paired.withColumn("uplift", F.col("score_best") - F.col("score_ref"))
 
 
 def align_scores(
@@ -46,7 +71,8 @@ def align_scores(
     ours = scores.select(run, *names, F.col(score).cast("double").alias("p"))
     theirs = reference.select(*names, F.col(score).cast("double").alias("q"))
     if unmatched == "drop":
-        return ours.join(theirs, names).select(run, *names, "p", "q")
+        rows = _once(ours, *names, run).join(_once(theirs, *names), names)
+        return rows.select(run, *names, "p", "q")
     # as many keys, and the same ones
     keys = F.struct(
         F.count("*"), F.bit_xor(F.xxhash64(*[F.col(name).cast("string") for name in names]))

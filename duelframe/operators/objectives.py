@@ -8,10 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A group of more rows than this is not left to one task.
-HOT_ROWS = 10_000_000
-HOT_SALTS = 1024
-
 
 def _negative_log_sigmoid(x: Column) -> Column:
     """-ln(sigmoid(x)) without overflow."""
@@ -19,51 +15,24 @@ def _negative_log_sigmoid(x: Column) -> Column:
 
 
 def rloo_advantage(
-    df: DataFrame,
-    by: Sequence[str] = ("run", "row_id"),
-    reward: str = "reward",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, by: Sequence[str] = ("run", "row_id"), reward: str = "reward"
 ) -> DataFrame:
     """Reward minus the mean reward of the prompt's other samples; NULL for a lone one.
 
-    Group sums are combined on the map side and joined back. Groups of more than
-    ``hot_rows`` rows, at most one per that many rows of the table, are broadcast;
-    their rows take part in the join under a salted key without partner, so they
-    are spread over all tasks.
+    Group sums are combined on the map side and joined back to the rows, one row
+    per group; adaptive execution splits the rows of a group of any size.
     """
     names = [f"_by{i}" for i in range(len(by))]
     sums = df.groupBy(*[F.col(c).alias(name) for c, name in zip(by, names)]).agg(
-        F.sum(reward).alias("_sum"), F.count(reward).alias("_n"), F.count("*").alias("_rows")
-    )
-
-    def same(side: str) -> Column:
-        """Equal keys, NULL being a key as well."""
-        equal = [F.col(f"r.{c}").eqNullSafe(F.col(f"{side}.{n}")) for c, n in zip(by, names)]
-        return reduce(Column.__and__, equal)
-
-    hot = sums.where(F.col("_rows") > hot_rows).alias("h")
-    spread_over = F.lit(1) + F.pmod(F.xxhash64("r.*"), F.lit(HOT_SALTS))
-    rows = (
-        df.alias("r")
-        .join(F.broadcast(hot), same("h"), "left")
-        .select(
-            "r.*",
-            F.col("h._sum").alias("_hot_sum"),
-            F.col("h._n").alias("_hot_n"),
-            F.when(F.col("h._rows").isNull(), F.lit(0)).otherwise(spread_over).alias("_salt"),
-        )
-        .alias("r")
+        F.sum(reward).alias("_sum"), F.count(reward).alias("_n")
     )
-    # a value of the row, as a literal would be folded and drop out of the join key
-    salt = F.when(F.col("_rows") > hot_rows, F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
-    cold = sums.withColumn("_salt", salt).alias("c")
-    joined = rows.join(cold, same("c") & (F.col("r._salt") == F.col("c._salt")), "left")
-    total = F.coalesce("r._hot_sum", "c._sum")
-    count = F.coalesce("r._hot_n", "c._n")
+    # NULL is a key as well
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{n}")) for c, n in zip(by, names)]
+    joined = df.alias("r").join(sums.alias("s"), reduce(Column.__and__, same), "left")
     own = F.col(f"r.{reward}")
     return joined.select(
         *[F.col(f"r.{c}") for c in df.columns],
-        (own - F.try_divide(total - own, count - 1)).alias("advantage"),
+        (own - F.try_divide(F.col("s._sum") - own, F.col("s._n") - 1)).alias("advantage"),
     )
 
 

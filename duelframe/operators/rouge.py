@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,7 +63,7 @@ def rouge_n(
     )
 
 
-def _match_rows(a: list[str], b: list[str]) -> list[int]:
+def _match_rows(a: list[str], b: list[str]) -> Iterator[int]:
     """Bit rows of the common-subsequence table of ``a`` and ``b``.
 
     Bit j of row i is set where the length rises from column j to j + 1, so the
@@ -74,21 +75,22 @@ def _match_rows(a: list[str], b: list[str]) -> list[int]:
         where[word] = where.get(word, 0) | (1 << j)
     full = (1 << len(b)) - 1
     rises = 0
-    rows = [rises]
+    yield rises
     for word in a:
         hits = where.get(word, 0) | rises
         rises = hits & ~(hits - ((rises << 1) | 1)) & full
-        rows.append(rises)
-    return rows
+        yield rises
 
 
 def _common_length(a: list[str], b: list[str]) -> int:
-    return _match_rows(a, b)[-1].bit_count()
+    for row in _match_rows(a, b):
+        last = row
+    return last.bit_count()
 
 
 def _common_places(a: list[str], b: list[str]) -> set[int]:
     """Places in ``a`` of one longest common subsequence, found from the end."""
-    rows = _match_rows(a, b)
+    rows = list(_match_rows(a, b))
 
     def length(i: int, j: int) -> int:
         return (rows[i] & ((1 << j) - 1)).bit_count()
@@ -122,6 +124,15 @@ def _summary_hits(reference: list[list[str]], prediction: list[list[str]]) -> in
     return hits
 
 
+def _whole(text: str) -> Column:
+    """A null text has no words, for every kind of ROUGE."""
+    return F.coalesce(F.col(text), F.lit(""))
+
+
+def _words(text: str) -> Column:
+    return words(_whole(text))
+
+
 def rouge_l(
     df: DataFrame,
     prediction: str = "prediction",
@@ -134,7 +145,7 @@ def rouge_l(
     def common(p: pd.Series, r: pd.Series) -> pd.Series:
         return pd.Series([_common_length(list(a), list(b)) for a, b in zip(p, r)], dtype="int64")
 
-    mine, theirs = words(F.col(prediction)), words(F.col(reference))
+    mine, theirs = _words(prediction), _words(reference)
     return _from_hits(df, common(mine, theirs), F.size(mine), F.size(theirs), key)
 
 
@@ -158,9 +169,9 @@ def rouge_l_sum(
 
     def lines(text: str) -> Column:
         # fixed value: sentences are the lines of a text
-        return F.transform(F.split(F.col(text), "\n"), lambda line: words(line))
+        return F.transform(F.split(_whole(text), "\n"), lambda line: words(line))
 
-    mine, theirs = words(F.col(prediction)), words(F.col(reference))
+    mine, theirs = _words(prediction), _words(reference)
     return _from_hits(
         df, hits(lines(prediction), lines(reference)), F.size(mine), F.size(theirs), key
     )

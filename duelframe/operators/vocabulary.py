@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,7 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duelframe.defaults import VOCAB_SIZE
 from duelframe.functions.tokens import (
     EOS_ID,
     EOS_TEXT,
@@ -24,13 +24,10 @@ from duelframe.functions.tokens import (
 )
 from duelframe.keys import Key, key_names
 
-# A vocabulary up to this size goes to the executors; a larger one is joined.
-SHIPPED_WORDS = 200_000
-SHIPPED_BYTES = 64 << 20
-
-# A larger vocabulary is copied this many times, so that a frequent word's
-# occurrences spread over as many groups.
-WORD_SALTS = 32
+# So many of the most frequent words go to the executors, those of usual length: a
+# few megabytes at most. All other words are joined.
+SHIPPED_WORDS = 50_000
+SHIPPED_LENGTH = 64
 
 
 @dataclass(frozen=True)
@@ -49,10 +46,10 @@ class Vocabulary:
 
     @cached_property
     def shipped(self):
-        """Broadcast ``(tokens, ids)`` arrays; None for a vocabulary over the bounds."""
-        rows = self.table.select("token", "token_id").limit(self.shipped_words + 1).toArrow()
-        if rows.num_rows > self.shipped_words or rows.nbytes > SHIPPED_BYTES:
-            return None
+        """Broadcast ``(tokens, ids)`` arrays of the reserved tokens and the frequent words."""
+        last = FIRST_WORD_ID + self.shipped_words
+        usual = (F.col("token_id") < last) & (F.octet_length("token") <= SHIPPED_LENGTH)
+        rows = self.table.where(usual).select("token", "token_id").toArrow()
         tokens = pa.concat_arrays(
             [pa.array([EOS_TEXT, UNK_TEXT, PAD_TEXT])]
             + [c.cast(pa.string()) for c in rows["token"].chunks]
@@ -63,31 +60,30 @@ class Vocabulary:
         )
         return self.table.sparkSession.sparkContext.broadcast((tokens, ids))
 
-    @property
-    def with_reserved(self) -> DataFrame:
-        reserved = self.table.sparkSession.createDataFrame(
-            [(EOS_TEXT, EOS_ID), (UNK_TEXT, UNK_ID), (PAD_TEXT, PAD_ID)],
-            "token string, token_id int",
-        )
-        return self.table.select("token", "token_id").unionByName(reserved)
 
+def build_vocab(df: DataFrame, *texts: str, size: int | None = None) -> Vocabulary:
+    """All words of the text columns, the most frequent first; ties in word order.
 
-def build_vocab(df: DataFrame, *texts: str, size: int = VOCAB_SIZE) -> Vocabulary:
-    """The ``size`` most frequent words of the text columns; ties in word order."""
+    ``size`` keeps that many only. Words are numbered in buckets of equal count
+    and equal first letters: the buckets' sizes are added up, and each bucket
+    ranks its own words.
+    """
     word = F.explode(F.concat(*[words(F.col(t), WORD_OR_EOS) for t in texts])).alias("token")
-    top = (
+    counted = (
         df.select(word)
         .where(F.col("token") != EOS_TEXT)
         .groupBy("token")
         .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(size)
-    )
-    # ranks the rows kept, no more than ``size``
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
-    return Vocabulary(
-        top.select("token", (rank + (FIRST_WORD_ID - 1)).alias("token_id"), "n")
+        .withColumn("_start", F.substring("token", 1, 3))
     )
+    before = Window.orderBy(F.desc("n"), "_start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counted.groupBy("n", "_start").agg(F.count("*").alias("_size"))
+    places = sizes.select("n", "_start", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_at"))
+    inside = F.row_number().over(Window.partitionBy("n", "_start").orderBy("token"))
+    numbered = counted.withColumn("_in", inside).join(places, ["n", "_start"])
+    number = (F.col("_at") + F.col("_in") + (FIRST_WORD_ID - 1)).cast("int")
+    table = numbered.select("token", number.alias("token_id"), "n")
+    return Vocabulary(table if size is None else table.where(F.col("token_id") < FIRST_WORD_ID + size))
 
 
 def _lists(values: pa.Array, like: pa.Array) -> pa.ListArray:
@@ -100,20 +96,27 @@ def _lists(values: pa.Array, like: pa.Array) -> pa.ListArray:
 
 
 def encode(
-    df: DataFrame,
-    vocab: Vocabulary,
-    columns: dict[str, str],
-    key: Key = "row_id",
-    method: str = "auto",
+    df: DataFrame, vocab: Vocabulary, columns: dict[str, str], key: Key = "row_id"
 ) -> DataFrame:
     """Add id arrays: ``columns`` maps a text column to the array's name.
 
-    ``ship`` looks words up inside Arrow batches and moves no rows; ``join`` is
-    relational and has no bound on the vocabulary; ``auto`` ships what fits.
+    Frequent words are looked up inside Arrow batches, where the rows are. Only
+    the places of other words are joined, so neither texts nor frequent words
+    are shuffled for them.
     """
-    method = _method(vocab, method)
+    shared = vocab.shipped
+
+    def look_up(batch: pa.Array) -> pa.Array:
+        known, numbers = shared.value
+        at = pc.index_in(batch.flatten().cast(pa.string()), value_set=known)
+        return _lists(numbers.take(at), batch)
+
+    to_ids = F.arrow_udf(look_up, "array<int>")
+    table = vocab.table.select(F.col("token").alias("_value"), F.col("token_id").alias("_found"))
     for text, ids in columns.items():
-        df = (_encode_shipped if method == "ship" else _encode_joined)(df, vocab, text, ids, key)
+        values = words(F.col(text), WORD_OR_EOS)
+        number = F.coalesce("_found", F.lit(UNK_ID))
+        df = _filled(df, values, to_ids, table, number, ids, key)
     return df
 
 
@@ -123,119 +126,57 @@ def decode(
     columns: dict[str, str],
     key: Key = "row_id",
     skip_special_tokens: bool = False,
-    method: str = "auto",
 ) -> DataFrame:
     """Add texts: ``columns`` maps an id array to the text's name.
 
     Words are joined by a blank. An id without a word is an error.
     """
-    method = _method(vocab, method)
-    for ids, text in columns.items():
-        kept = F.col(ids)
-        if skip_special_tokens:
-            kept = F.filter(kept, lambda i: i >= FIRST_WORD_ID)
-        shape = _decode_shipped if method == "ship" else _decode_joined
-        df = shape(df, vocab, kept, text, key)
-    return df
-
-
-def _method(vocab: Vocabulary, method: str) -> str:
-    if method not in ("auto", "ship", "join"):
-        raise ValueError(f"unknown method {method!r}")
-    if method == "join":
-        return method
-    if vocab.shipped is None:
-        if method == "ship":
-            raise ValueError(f"a vocabulary of more than {vocab.shipped_words} words is not shipped")
-        return "join"
-    return "ship"
-
-
-def _encode_shipped(
-    df: DataFrame, vocab: Vocabulary, text: str, ids: str, key: Key
-) -> DataFrame:
-    shared = vocab.shipped
-
-    def look_up(batch: pa.Array) -> pa.Array:
-        known, numbers = shared.value
-        at = pc.index_in(batch.flatten().cast(pa.string()), value_set=known)
-        return _lists(pc.fill_null(numbers.take(at), UNK_ID), batch)
-
-    to_ids = F.arrow_udf(look_up, "array<int>")
-    return df.withColumn(ids, to_ids(words(F.col(text), WORD_OR_EOS)))
-
-
-def _decode_shipped(
-    df: DataFrame, vocab: Vocabulary, ids: Column, text: str, key: Key
-) -> DataFrame:
     shared = vocab.shipped
 
     def spell(batch: pa.Array) -> pa.Array:
         known, numbers = shared.value
-        at = pc.index_in(batch.flatten(), value_set=numbers)
-        if at.null_count:
-            raise ValueError("token id outside the vocabulary")
-        return pc.binary_join(_lists(known.take(at), batch), " ")
-
-    to_text = F.arrow_udf(spell, "string")
-    return df.withColumn(text, to_text(ids))
-
-
-def _in_row_order(place: str, value: Column) -> Column:
-    """The row's values by place; an empty array where the row has none."""
-    pairs = F.collect_list(F.when(F.col(place).isNotNull(), F.struct(place, value.alias("v"))))
-    return F.array_sort(pairs)["v"]
-
-
-def _per_element(df: DataFrame, values: Column, key: Key) -> DataFrame:
-    """One row per array element, placed by the row's key.
+        return _lists(known.take(pc.index_in(batch.flatten(), value_set=numbers)), batch)
 
-    The rows are spread by key before they are multiplied, so what is put
-    together again per row moves no more than the arrays once.
-    """
-    names = key_names(key)
-    return (
-        df.select(*names, values.alias("_values"))
-        .repartition(*names)
-        .select(*names, F.posexplode_outer("_values").alias("_pos", "_value"))
+    to_words = F.arrow_udf(spell, "array<string>")
+    table = vocab.table.select(F.col("token_id").alias("_value"), F.col("token").alias("_found"))
+    word = F.coalesce(
+        "_found", F.raise_error(F.lit("token id outside the vocabulary")).cast("string")
     )
+    for ids, text in columns.items():
+        kept = F.col(ids)
+        if skip_special_tokens:
+            kept = F.filter(kept, lambda i: i >= FIRST_WORD_ID)
+        df = _filled(df, kept, to_words, table, word, text, key)
+        df = df.withColumn(text, F.array_join(text, " "))
+    return df
 
 
-def _salted(elements: DataFrame, table: DataFrame, names: list[str]) -> tuple:
-    """Both sides of a join on ``_value`` with that value's rows split ``WORD_SALTS`` ways."""
-    salt = F.pmod(F.xxhash64(*names, "_pos"), F.lit(WORD_SALTS)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1)))
-    return elements.withColumn("_salt", salt), table.withColumn("_salt", copies)
-
-
-def _encode_joined(
-    df: DataFrame, vocab: Vocabulary, text: str, ids: str, key: Key
-) -> DataFrame:
-    names = key_names(key)
-    elements = _per_element(df, words(F.col(text), WORD_OR_EOS), key)
-    table = vocab.with_reserved.select(F.col("token").alias("_value"), "token_id")
-    elements, table = _salted(elements, table, names)
-    found = elements.join(table, ["_value", "_salt"], "left")
-    number = F.coalesce(F.col("token_id"), F.lit(UNK_ID))
-    rows = found.groupBy(*names).agg(_in_row_order("_pos", number).alias(ids))
-    back = df.join(rows, names, "left")
-    return back.withColumn(ids, F.when(F.col(text).isNotNull(), F.col(ids)))
-
-
-def _decode_joined(
-    df: DataFrame, vocab: Vocabulary, ids: Column, text: str, key: Key
+def _filled(
+    df: DataFrame,
+    values: Column,
+    look_up: Callable[[Column], Column],
+    table: DataFrame,
+    found: Column,
+    out: str,
+    key: Key,
 ) -> DataFrame:
+    """Add ``out``: per value what the look-up has, or else what the table has for it."""
     names = key_names(key)
-    elements = _per_element(df, ids, key)
-    table = vocab.with_reserved.select(F.col("token_id").alias("_value"), "token")
-    elements, table = _salted(elements, table, names)
-    found = elements.join(table, ["_value", "_salt"], "left")
-    word = F.when(
-        F.col("_value").isNotNull() & F.col("token").isNull(),
-        F.raise_error(F.lit("token id outside the vocabulary")),
-    ).otherwise(F.col("token"))
-    rows = found.groupBy(*names).agg(
-        F.array_join(_in_row_order("_pos", word), " ").alias(text)
+    known = look_up(values)
+    parts = F.arrays_zip(values.alias("value"), known.alias("known"))
+    open_places = F.filter(
+        F.transform(parts, lambda p, i: F.struct(i.alias("i"), p["value"].alias("v"), p["known"].alias("k"))),
+        lambda p: p["k"].isNull(),
+    )
+    rest = df.select(*names, F.explode(open_places).alias("p"))
+    rest = rest.select(*names, F.col("p.i").alias("_place"), F.col("p.v").alias("_value"))
+    joined = rest.join(table, "_value", "left").groupBy(*names)
+    late = joined.agg(F.collect_list(F.struct(F.col("_place").alias("i"), found.alias("x"))).alias("_late"))
+    mine = df.withColumn(out, known)
+    patched = mine.join(late, names, "left")
+    again = F.transform(F.col(out), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    whole = F.transform(
+        F.array_sort(F.concat(F.filter(again, lambda p: p["x"].isNotNull()), F.col("_late"))),
+        lambda p: p["x"],
     )
-    back = df.join(rows, names, "left")
-    return back.withColumn(text, F.when(ids.isNotNull(), F.col(text)))
+    return patched.withColumn(out, F.when(F.col("_late").isNull(), F.col(out)).otherwise(whole)).drop("_late")

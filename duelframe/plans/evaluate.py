@@ -82,17 +82,9 @@ def frontier_of_runs(
     reference: DataFrame,
     key: Key = "row_id",
     unmatched: str = "error",
-    digits: int | None = None,
 ) -> DataFrame:
-    """Mean reward and KL of every run, reduced to the runs on the frontier.
-
-    ``digits`` rounds both before they are compared.
-    """
+    """Mean reward and KL of every run, reduced to the runs on the frontier."""
     summary = run_summary(
         mean_reward(scores), kl_divergence(scores, reference, key, unmatched=unmatched)
     )
-    if digits is not None:
-        summary = summary.select(
-            "run", *[F.round(c, digits).alias(c) for c in ("mean_reward", "kl")]
-        )
     return frontier(summary)

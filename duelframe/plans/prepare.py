@@ -54,9 +54,9 @@ class Settings:
     pad_side: str = "right"
     mask_pad: bool = False
     on_bad_row: str = "error"
+    ignored_splits: tuple[str, ...] = ()
     seed: int = SAMPLING_SEED
     key: str = "row_id"
-    encoding: str = "auto"
 
     def tokeniser(self) -> Vocabulary:
         if self.vocab is None:
@@ -64,10 +64,10 @@ class Settings:
         return self.vocab
 
     def encode(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
-        return encode(df, self.tokeniser(), columns, self.key, self.encoding)
+        return encode(df, self.tokeniser(), columns, self.key)
 
     def decode(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
-        return decode(df, self.tokeniser(), columns, self.key, method=self.encoding)
+        return decode(df, self.tokeniser(), columns, self.key)
 
 
 Shape = Callable[[DataFrame, Settings], DataFrame]
@@ -204,7 +204,7 @@ TASKS: dict[str, Task] = {
     "rloo": Task(_rloo, reads_pair=False),
     "ppo_query": Task(_ppo_query, splits=("train",), reads_pair=False),
     "nsampler": Task(_nsampler, noised=False, splits=("validation",), reads_pair=False),
-    "sft": Task(_sft, noised=False, splits=("train", "valid"), comparisons=False),
+    "sft": Task(_sft, noised=False, splits=("train", "validation"), comparisons=False),
     "raw": Task(_raw),
 }
 
@@ -216,11 +216,11 @@ def register_task(name: str, task: Task) -> None:
     TASKS[name] = task
 
 
-def _bad(task: Task) -> Column:
+def _bad(task: Task, key: str) -> Column:
     """Whether a row lacks what the task reads."""
     if not task.comparisons:
-        return F.col("prompt").isNull() | F.col("label").isNull()
-    bad = F.lit(False)
+        return F.col(key).isNull() | F.col("prompt").isNull() | F.col("label").isNull()
+    bad = F.col(key).isNull()
     if task.reads_post:
         bad = bad | post_text().isNull()
     if task.reads_pair:
@@ -240,7 +240,7 @@ def _checked(df: DataFrame, task: Task, key: str) -> DataFrame:
     problem = F.raise_error(
         F.concat(F.lit("bad row: "), F.coalesce(F.col(key).cast("string"), F.lit("no key")))
     )
-    return df.where(F.when(_bad(task), problem).otherwise(F.lit(True)))
+    return df.where(F.when(_bad(task, key), problem).otherwise(F.lit(True)))
 
 
 def prepare(df: DataFrame, task: str, settings: Settings | None = None, **changes) -> DataFrame:
@@ -258,12 +258,25 @@ def prepare(df: DataFrame, task: str, settings: Settings | None = None, **change
         raise ValueError(f"on_bad_row must be error or drop, not {s.on_bad_row!r}")
     plan = TASKS[task]
 
-    rows = df.where(F.col("split").isin(*plan.splits))
+    # a split whose name contains "valid" is the validation split, whatever its ending
+    held_split = F.contains("split", F.lit("valid"))
+    # not by equality: a later filter on the split would be put into the comparison
+    named = F.array(*[F.lit(name) for name in ("train", *s.ignored_splits)])
+    known = F.array_contains(named, F.col("split")) | held_split
+    unknown = F.raise_error(
+        F.concat(F.lit("unknown split: "), F.coalesce(F.col("split"), F.lit("none")))
+    )
+    wanted = F.lit(False)
+    if "train" in plan.splits:
+        wanted = wanted | (F.col("split") == "train")
+    if "validation" in plan.splits:
+        wanted = wanted | held_split
+    rows = df.where(F.when(F.coalesce(known, F.lit(False)), wanted).otherwise(unknown))
     if s.on_bad_row == "drop":
-        rows = rows.where(~_bad(plan))
+        rows = rows.where(~_bad(plan, s.key))
     held = [name for name in plan.splits if name != "train"]
     if held:
-        head = rows.where(F.col("split") == held[0])
+        head = rows.where(F.col("split") != "train")
         strict = s.strict_validation and plan.comparisons
         end = head_end(head, s.validation_rows, s.key, strict)
         rows_kept = rows.where(

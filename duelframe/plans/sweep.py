@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -42,13 +43,18 @@ def noise_vs_accuracy(
     train = kept.where("split = 'train'")
     held = kept.where("split <> 'train' AND _right").select("_pair")
 
-    rows = []
-    for at, level in enumerate(levels):
+    def measured(at: int, level: float) -> tuple:
         won = train.select("_pair", F.col("_won")[at].alias("_won"))
         reward = fit_on_features(won, "_won", reg, max_iter)
         margins = reward.margin(held, "score_chosen").withColumn("score_rejected", F.lit(0.0))
-        rows.append((float(level), *pairwise_accuracy(margins).first()))
-    kept.unpersist()
+        return (float(level), *pairwise_accuracy(margins).first())
+
+    # the levels' jobs overlap, so that one fills the cores another leaves idle
+    try:
+        with ThreadPoolExecutor(max(1, len(levels))) as pool:
+            rows = list(pool.map(measured, range(len(levels)), levels))
+    finally:
+        kept.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "noise_level double, accuracy double, loss double, n bigint"
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -14,7 +13,7 @@ _CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a session that names none (a local test run) gets a folder of its own.
+    A local session that names none uses a folder below its warehouse.
     """
     named = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(
         _CHECKPOINT_DIR
@@ -23,9 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_DIR} to a folder shared by the cluster")
-    own = tempfile.mkdtemp(prefix="duelframe-")
-    spark.conf.set(_CHECKPOINT_DIR, own)
-    return own
+    return posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "duelframe-tables")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -65,6 +65,10 @@ def read_scores(
     if fmt != "csv":
         return _read(spark, path, schema, fmt)
     as_text = StructType([StructField(f.name, StringType()) for f in schema])
+    found = spark.read.options(**CSV).csv(path).columns
+    # the row number's column has no name in files of other tools
+    if found[1:] != schema.names[1:] or found[0] not in (schema.names[0], "_c0"):
+        raise ValueError(f"columns {found} instead of {schema.names}")
     text = spark.read.schema(as_text).options(**CSV).csv(path)
     return text.select(
         *[

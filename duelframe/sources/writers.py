@@ -46,13 +46,16 @@ def write_best_of(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def append_game_log(
-    df: DataFrame, path: str, checkpoint: str | None = None
+    df: DataFrame,
+    path: str,
+    checkpoint: str | None = None,
+    columns: tuple[str, ...] = tuple(schemas.GAME_LOG.fieldNames()),
 ) -> StreamingQuery | None:
-    """Add the rows of a step to the log, partitioned by run.
+    """Add ``columns`` of a step's rows to the log, partitioned by ``run``, which is among them.
 
     A streaming frame needs a checkpoint folder; its query is returned.
     """
-    rows = df.select(*schemas.GAME_LOG.fieldNames())
+    rows = df.select(*columns)
     if not df.isStreaming:
         rows.write.mode("append").partitionBy("run").parquet(path)
         return None

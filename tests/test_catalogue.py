@@ -7,8 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from tools.check import rows_of
-
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+from workloads.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")

@@ -268,7 +268,9 @@ def test_encoding_moves_no_rows(stored):
 
     vocab = build_vocab(stored.select(F.col("info.post").alias("t")), "t")
     df = encode(stored.select("row_id", F.col("info.post").alias("t")), vocab, {"t": "ids"})
-    assert "Exchange" not in plan(df) and "ArrowEvalPython" in plan(df)
+    # texts stay where they are: only places of words that aren't shipped are joined
+    moved = [line for line in plan(df).splitlines() if "Exchange" in line]
+    assert moved and not any("post" in line for line in moved) and "ArrowEvalPython" in plan(df)
 
 
 def test_grams_are_not_shuffled(spark):
@@ -281,9 +283,8 @@ def test_groups_are_combined_before_the_shuffle(spark):
         "'a' AS run", "id AS row_id", "1 AS cand", "'r' AS response", "0.5D AS score", "0.5D AS reward"
     )
     assert "partial_max" in plan(best_of_n(df))
-    advantage = plan(rloo_advantage(df, hot_rows=3))
+    advantage = plan(rloo_advantage(df))
     assert "partial_sum" in advantage and "Window" not in advantage
-    joins = [line for line in advantage.splitlines() if "Join [" in line]
-    assert len(joins) == 2 and "_salt" in joins[0].split("LeftOuter")[0]  # a join key
+    assert advantage.count("Join [") == 1 and "Hint" not in advantage
     kl = plan(kl_divergence(df, df.select("row_id", "score")))
     assert "partial_sum" in kl and "Python" not in kl and "CartesianProduct" not in kl

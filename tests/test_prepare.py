@@ -62,9 +62,8 @@ def test_kto(three):
     assert out[1].completion == "assistant: second words\n\n<|endoftext|>"
 
 
-@pytest.mark.parametrize("encoding", ["ship", "join"])
-def test_reward(three, vocab, encoding):
-    settings = Settings(vocab=vocab, max_tokens=1, encoding=encoding, **LENIENT)
+def test_reward(three, vocab):
+    settings = Settings(vocab=vocab, max_tokens=1, **LENIENT)
     rows = by_id(prepare(three, "reward", settings))
     assert set(rows) == {2}  # the other pairs have a side of two tokens
     assert rows[2].input_ids_chosen == [] and rows[2].attention_mask_chosen == []
@@ -187,3 +186,33 @@ def test_assemble(spark):
         "train": 2,
         "validation": 3,
     }
+
+
+def test_keys_of_the_head(spark):
+    from duelframe.operators import validation_head
+
+    rows = lambda *keys: spark.createDataFrame([(k,) for k in keys], "row_id long")
+    assert validation_head(rows(1, 1, 2, 3), "row_id", 3).count() == 3
+    with task_failure("repeated key"):
+        validation_head(rows(1, 2, 2, 2, 3), "row_id", 2).collect()
+    with task_failure("null in key"):
+        validation_head(rows(None, 1, 2), "row_id", 2).collect()
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.5])
+def test_no_row_is_lost_without_a_word(comparisons, noise):
+    """Null keys, null splits and unknown splits are errors; other names of validation are not."""
+    good = [(k, "p", "a", "b", 1, "train") for k in range(4)]
+    options = {"noise": Noise(noise), "strict_validation": False}
+    for bad, message in (
+        ((None, "p", "a", "b", 1, "validation"), "null in key"),
+        ((9, "p", "a", "b", 1, None), "unknown split"),
+        ((9, "p", "a", "b", 1, "test"), "unknown split"),
+    ):
+        with task_failure(message):
+            prepare(comparisons(*good, bad), "dpo", **options).collect()
+    held = comparisons(*good, (9, "p", "a", "b", 1, "valid"), (10, "p", "a", "b", 1, "test"))
+    kept = prepare(held, "dpo", ignored_splits=("test",), **options).collect()
+    assert sorted(r.row_id for r in kept) == [0, 1, 2, 3, 9]
+    dropped = prepare(comparisons(*good, (None, "p", "a", "b", 1, "train")), "dpo", on_bad_row="drop", **options)
+    assert dropped.count() == 4

@@ -20,6 +20,7 @@ from duelframe.functions import (
     truncate_pad,
     words,
 )
+from duelframe.operators.rouge import ROUGE_KINDS
 from duelframe.operators import Vocabulary, build_vocab, decode, encode, rouge_l, rouge_l_sum, rouge_n
 from duelframe.operators.rouge import _common_length, _common_places
 
@@ -107,30 +108,31 @@ def test_vocabulary_order_and_size(corpus):
     assert build_vocab(corpus, "text", size=2).table.count() == 2
 
 
-@pytest.mark.parametrize("method", ["ship", "join", "auto"])
-def test_encode_and_decode(corpus, method):
-    vocab = build_vocab(corpus, "text")
-    ids = encode(corpus, vocab, {"text": "ids"}, method=method)
+@pytest.mark.parametrize("shipped", [0, 2, 50_000])
+def test_encode_and_decode(corpus, shipped):
+    vocab = Vocabulary(build_vocab(corpus, "text").table, shipped)
+    ids = encode(corpus, vocab, {"text": "ids"})
     got = {r.row_id: r.ids for r in ids.collect()}
     assert got == {0: [3, 4, 3, 5], 1: [3, 6, 3, 4], 2: [], 3: [], 4: [7, 0]}
-    back = decode(ids, vocab, {"ids": "back"}, method=method)
+    back = decode(ids, vocab, {"ids": "back"})
     for r in back.select("back", normalised(F.col("text")).alias("normal")).collect():
         assert r.back == r.normal
-    short = build_vocab(corpus, "text", size=1)
-    some = encode(corpus, short, {"text": "ids"}, method=method)
+    short = Vocabulary(build_vocab(corpus, "text", size=1).table, shipped)
+    some = encode(corpus, short, {"text": "ids"})
     assert {r.row_id: r.ids for r in some.collect()}[0] == [3, 1, 3, 1]
     spelled = {r.row_id: r.back for r in decode(some, short, {"ids": "back"}).collect()}
     assert spelled[0] == "the <unk> the <unk>" and spelled[4] == "<unk> <|endoftext|>"
-    words_only = decode(some, short, {"ids": "back"}, skip_special_tokens=True, method=method)
+    words_only = decode(some, short, {"ids": "back"}, skip_special_tokens=True)
     assert {r.row_id: r.back for r in words_only.collect()}[4] == ""
 
 
 def test_null_text_has_null_ids(spark, corpus):
     vocab = build_vocab(corpus, "text")
     df = spark.createDataFrame([(1, None), (2, "cat")], "row_id long, text string")
-    for method in ("ship", "join"):
-        out = encode(df, vocab, {"text": "ids"}, method=method)
-        out = decode(out, vocab, {"ids": "back"}, method=method)
+    for shipped in (0, 50_000):
+        vocab = Vocabulary(vocab.table, shipped)
+        out = encode(df, vocab, {"text": "ids"})
+        out = decode(out, vocab, {"ids": "back"})
         assert {r.row_id: (r.ids, r.back) for r in out.collect()} == {
             1: (None, None),
             2: ([4], "cat"),
@@ -140,19 +142,33 @@ def test_null_text_has_null_ids(spark, corpus):
 def test_unknown_id_is_an_error(spark, corpus):
     vocab = build_vocab(corpus, "text")
     df = spark.createDataFrame([(1, [3, 99])], "row_id long, ids array<int>")
-    for method in ("ship", "join"):
+    for shipped in (0, 50_000):
         with task_failure("outside the vocabulary"):
-            decode(df, vocab, {"ids": "t"}, method=method).collect()
-
-
-def test_large_vocabulary_is_joined(corpus):
-    vocab = Vocabulary(build_vocab(corpus, "text").table, shipped_words=3)
-    assert vocab.shipped is None
-    assert "ArrowEvalPython" not in plan(encode(corpus, vocab, {"text": "ids"}))
-    with pytest.raises(ValueError, match="not shipped"):
-        encode(corpus, vocab, {"text": "ids"}, method="ship")
-    with pytest.raises(ValueError, match="unknown method"):
-        encode(corpus, vocab, {"text": "ids"}, method="other")
+            decode(df, Vocabulary(vocab.table, shipped), {"ids": "t"}).collect()
+
+
+def test_all_words_come_back(spark):
+    """More words than are shipped, very long ones, and counts that many words share."""
+    rows = [(k, f"w{k} w{k % 7} " + "x" * (60 + k % 9)) for k in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    vocab = build_vocab(df, "text")
+    counts = Counter(w for _, t in rows for w in t.split())
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    got = vocab.table.orderBy("token_id").collect()
+    assert [(r.token, r.token_id) for r in got] == [(w, k + 3) for k, w in enumerate(ranked)]
+    small = Vocabulary(vocab.table, 50)
+    back = decode(encode(df, small, {"text": "ids"}), small, {"ids": "back"})
+    assert back.where("back <> text").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["rouge1", "rouge2", "rougeL", "rougeLsum"])
+def test_null_texts_have_no_words_in_any_rouge(spark, kind):
+    df = spark.createDataFrame(
+        [(1, None, "a b"), (2, "a b", None), (3, None, None), (4, "a b", "a b")],
+        "row_id long, prediction string, reference string",
+    )
+    got = {r.row_id: r.f for r in ROUGE_KINDS[kind](df, "prediction", "reference", "row_id").collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0}
 
 
 def test_vocabulary_survives_saving(spark, corpus, tmp_path):

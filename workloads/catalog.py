@@ -9,6 +9,7 @@ orders; arrays are shown joined.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,7 +232,7 @@ def _candidate_requests(spark, sf_dir):
 def _prepared(spark, sf_dir, task, level=0.2, vocab=False, **more):
     settings = Settings(
         noise=Noise(level),
-        strict_validation=False,
+        validation_rows=t.HEAD,
         vocab=t.vocabulary(spark, sf_dir) if vocab else None,
         **more,
     )
@@ -384,7 +385,7 @@ def _padded_mask_sql(ids: str, n: int) -> str:
       SELECT row_id, split, prompt || label AS text
       FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY row_id) AS nth
             FROM prompt_label)
-      WHERE split = 'train' OR nth <= 2000),
+      WHERE split = 'train' OR nth <= {t.HEAD}),
     {encode_sql("e", "headed", "row_id", "text", "ids")}
     SELECT row_id, split, {shown_sql(_padded_sql("ids", 550))} AS input_ids,
            {shown_sql(_padded_mask_sql("ids", 550))} AS attention_mask,
@@ -393,7 +394,9 @@ def _padded_mask_sql(ids: str, n: int) -> str:
 )
 def _prepare_sft(spark, sf_dir):
     rows = prepare(
-        t.prompt_label(spark, sf_dir), "sft", Settings(vocab=t.vocabulary(spark, sf_dir))
+        t.prompt_label(spark, sf_dir),
+        "sft",
+        Settings(vocab=t.vocabulary(spark, sf_dir), validation_rows=t.HEAD),
     )
     return rows.select(
         "row_id",
@@ -450,12 +453,12 @@ def _build_vocab(spark, sf_dir):
 _DOCUMENT_IDS = encode_sql("e", "documents", "doc_id", "text", "ids")
 
 
-def _document_ids(spark, sf_dir, method="auto"):
+def _document_ids(spark, sf_dir, **more):
     documents = sources.spread(
         t.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
     )
-    vocab = t.vocabulary(spark, sf_dir)
-    return vocab, encode(documents, vocab, {"text": "ids"}, "doc_id", method)
+    vocab = replace(t.vocabulary(spark, sf_dir), **more)
+    return vocab, encode(documents, vocab, {"text": "ids"}, "doc_id")
 
 
 _ENCODED = f"""WITH {VOCAB_SQL}, {_DOCUMENT_IDS}
@@ -470,7 +473,7 @@ def _encode_ids(spark, sf_dir):
 
 @query("encode_ids_joined", _ENCODED)
 def _encode_ids_joined(spark, sf_dir):
-    rows = _document_ids(spark, sf_dir, "join")[1]
+    rows = _document_ids(spark, sf_dir, shipped_words=0)[1]
     return rows.select("doc_id", shown("ids").alias("ids"), F.size("ids").alias("length"))
 
 
@@ -486,8 +489,21 @@ def _decode_text(spark, sf_dir):
 
 @query("decode_text_joined", _DECODED)
 def _decode_text_joined(spark, sf_dir):
-    vocab, rows = _document_ids(spark, sf_dir)
-    return decode(rows, vocab, {"ids": "words"}, "doc_id", method="join").select("doc_id", "words")
+    vocab, rows = _document_ids(spark, sf_dir, shipped_words=0)
+    return decode(rows, vocab, {"ids": "words"}, "doc_id").select("doc_id", "words")
+
+
+@query(
+    "token_round_trip",
+    rf"""SELECT doc_id, words, words = array_to_string(regexp_extract_all(lower(text), '{t.TOKENS}'), ' ') AS same
+    FROM (SELECT doc_id, text, array_to_string(regexp_extract_all(lower(text), '{t.TOKENS}'), ' ') AS words
+          FROM documents)""",
+)
+def _token_round_trip(spark, sf_dir):
+    vocab, rows = _document_ids(spark, sf_dir, shipped_words=1000)
+    back = decode(rows, vocab, {"ids": "words"}, "doc_id")
+    normal = F.array_join(words(F.col("text"), WORD_OR_EOS), " ")
+    return back.select("doc_id", "words", (F.col("words") == normal).alias("same"))
 
 
 @query(
@@ -813,11 +829,11 @@ def _kl_shared_rows(spark, sf_dir):
     "frontier",
     f"""WITH {NOISE_RUNS_SQL},
     ref AS (SELECT user_id AS row_id, avg(value) AS q FROM events GROUP BY ALL),
-    kls AS (SELECT run, round(sum({_KL_TERM}) / sum(p) - (ln(sum(p)) - ln(sum(q))), 6) AS kl
+    kls AS (SELECT run, sum({_KL_TERM}) / sum(p) - (ln(sum(p)) - ln(sum(q))) AS kl
             FROM (SELECT run, score AS p, q FROM noise_runs JOIN ref USING (row_id)) GROUP BY run),
-    means AS (SELECT run, round(avg(score), 6) AS mean_reward FROM noise_runs GROUP BY run),
+    means AS (SELECT run, avg(score) AS mean_reward FROM noise_runs GROUP BY run),
     summary AS (SELECT * FROM means JOIN kls USING (run))
-    SELECT run, mean_reward, kl FROM (
+    SELECT run, round(mean_reward, 6) AS mean_reward, round(kl, 6) AS kl FROM (
       SELECT *, max(mean_reward) OVER (ORDER BY kl, mean_reward DESC, run
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM summary)
     WHERE before IS NULL OR mean_reward > before""",
@@ -828,9 +844,8 @@ def _frontier(spark, sf_dir):
         .groupBy(F.col("user_id").alias("row_id"))
         .agg(F.avg("value").alias("score"))
     )
-    return frontier_of_runs(
-        t.noise_runs(spark, sf_dir), reference, unmatched="drop", digits=6
-    )
+    best = frontier_of_runs(t.noise_runs(spark, sf_dir), reference, unmatched="drop")
+    return best.withColumns({c: F.round(c, 6) for c in ("mean_reward", "kl")})
 
 
 @query(
@@ -975,13 +990,13 @@ def _batch_map(spark, sf_dir):
 @query("fit_linear_reward")
 def _fit_linear_reward(spark, sf_dir):
     pairs = _prepared(spark, sf_dir, "dpo").where("split = 'train'")
-    reward = fit_linear_reward(pairs, buckets=1 << 10, max_iter=10)
+    reward = fit_linear_reward(pairs)
     return weights(spark, reward).select("bucket", F.round("weight", 6).alias("weight"))
 
 
 @query("noise_vs_accuracy")
 def _noise_vs_accuracy(spark, sf_dir):
-    rows = noise_vs_accuracy(t.comparisons(spark, sf_dir), buckets=1 << 10, max_iter=10)
+    rows = noise_vs_accuracy(t.comparisons(spark, sf_dir))
     return rows.withColumns({c: F.round(c, 6) for c in ("accuracy", "loss")})
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.defaults import VOCAB_SIZE
 from duelframe.functions.scores import activate
 from duelframe.keys import hashed_int
 from duelframe.operators.vocabulary import Vocabulary, build_vocab
@@ -65,7 +64,11 @@ comparisons AS (
 )"""
 
 
-def noised_sql(level: float, head: int = 2000) -> str:
+# Validation rows that the queries keep: fewer than any of the given tables has.
+HEAD = 20
+
+
+def noised_sql(level: float, head: int = HEAD) -> str:
     """Comparisons with the validation head kept and training labels flipped."""
     return f"""{COMPARISONS_SQL},
 headed AS (
@@ -284,7 +287,7 @@ noise_runs AS (
 # --- vocabulary of all documents ----------------------------------------------------
 
 
-def vocabulary(spark: SparkSession, sf_dir: str, size: int = VOCAB_SIZE) -> Vocabulary:
+def vocabulary(spark: SparkSession, sf_dir: str, size: int | None = None) -> Vocabulary:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return build_vocab(documents, "text", size=size)
 
@@ -297,7 +300,7 @@ vocab AS (
   FROM (SELECT token, count(*) AS n
         FROM (SELECT unnest(regexp_extract_all(lower(text), '{TOKENS}')) AS token FROM documents)
         WHERE token <> '<|endoftext|>'
-        GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB_SIZE})
+        GROUP BY token)
 ),
 all_tokens AS (
   SELECT token, token_id FROM vocab
