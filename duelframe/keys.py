@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Key = str | Sequence[str]
@@ -36,6 +36,28 @@ def key_hash(key: Key, seed: int) -> Column:
     )
 
 
+_RUN = 1 << 16  # equal rows that are numbered at a time
+
+
+def with_key(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Add a key to rows that have none: a hash of the content, and a number among equal rows.
+
+    The same rows get the same keys, in whatever order they come. Equal rows are
+    counted before the shuffle and written out again from their count, so they
+    never meet in one group.
+    """
+    if key in df.columns:
+        raise ValueError(f"there is a column {key!r} already")
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    content = F.md5(F.to_json(F.struct(*columns)))
+    counted = df.groupBy(*columns, content.alias(key)).agg(F.count("*").alias("_n"))
+    runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {_RUN}"))))
+    first = F.col("_run") * _RUN
+    last = F.least(first + _RUN, F.col("_n")) - 1
+    numbered = runs.withColumn("_nth", F.explode(F.sequence(first, last)))
+    return numbered.select(F.concat_ws("-", key, "_nth").alias(key), *columns)
+
+
 def hashed_int(key: Key, seed: int, low: int, high: int) -> Column:
     """One integer in [low, high) per key, from the first 32 bits of the hash."""
     if high <= low:

@@ -21,7 +21,6 @@ def db(sf_dir):
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {
-        "rouge_l",
         "rouge_l_sum",
         "rouge_corpus_all",
         "fit_linear_reward",

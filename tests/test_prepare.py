@@ -171,6 +171,34 @@ def test_registered_task(three):
         del TASKS["posts"]
 
 
+def test_keys_for_rows_without_one(spark, monkeypatch):
+    import duelframe.keys as keys
+
+    monkeypatch.setattr(keys, "_RUN", 2)
+    rows = [("a", 1)] * 5 + [("b", None), (None, None), ("a", 2)]
+    df = spark.createDataFrame(rows, "`x.y` string, n int")
+    got = keys.with_key(df).collect()
+    assert sorted((tuple(r)[1:] for r in got), key=str) == sorted(rows, key=str)
+    found = {r.row_id for r in got}
+    assert len(found) == len(rows)
+    again = keys.with_key(df.repartition(3)).collect()
+    assert {r.row_id for r in again} == found
+    assert keys.with_key(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="already"):
+        keys.with_key(df, "n")
+
+
+def test_keyed_source_keeps_its_validation_rows(spark):
+    from duelframe.keys import with_key
+
+    post = {"post": "p"}
+    rows = [(post, [{"text": "a"}, {"text": "b"}], 0, s) for s in ("train", "validation") * 10]
+    schema = "info struct<post: string>, summaries array<struct<text: string>>, choice int, split string"
+    keyed = with_key(spark.createDataFrame(rows, schema))
+    got = prepare(keyed, "dpo", noise=Noise(0.2), validation_rows=10).groupBy("split").count()
+    assert {r.split: r["count"] for r in got.collect()} == {"train": 10, "validation": 10}
+
+
 def test_pair_filter_bounds(spark):
     df = spark.createDataFrame(
         [(1, [0] * 128, [0]), (2, [0] * 129, [0]), (3, [0], [0] * 129)],

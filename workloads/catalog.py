@@ -27,7 +27,7 @@ from duelframe.functions import (
     words,
 )
 from duelframe.functions.tokens import WORD_OR_EOS
-from duelframe.keys import hashed_int
+from duelframe.keys import hashed_int, with_key
 from duelframe.operators import (
     Noise,
     add_noise,
@@ -68,9 +68,11 @@ from duelframe.plans import (
     frontier_of_runs,
     noise_vs_accuracy,
     prepare,
+    register_task,
 )
 from duelframe.plans.evaluate import candidate_requests
-from duelframe.plans.prepare import Settings
+from duelframe.plans.prepare import TASKS, Settings, Task
+from duelframe.schemas import BEST_OF
 from duelframe.session import fresh_path
 from duelframe.streaming import append_closed, keep_latest, stream_reward_stats
 from workloads import inputs as t
@@ -862,6 +864,42 @@ def _run_key(spark, sf_dir):
     return rows.groupBy(key.alias("run_key")).agg(F.count("*").alias("n"))
 
 
+def _answers(requests: DataFrame) -> DataFrame:
+    """Stand-ins for generated answers: beginnings of the given one, of different lengths."""
+    size = (1 + F.col("row_id") * (F.col("cand") + 3) % 97).cast("int")
+    answer = F.substring("label", F.lit(1), size)
+    return requests.select(
+        F.lit("policy").alias("run"), "row_id", "cand", "query", answer.alias("response")
+    )
+
+
+@query(
+    "evaluate_end_to_end",
+    f"""WITH {PROMPT_LABEL_SQL},
+    sampled AS (SELECT * FROM prompt_label
+                ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id LIMIT 10),
+    scored AS (
+      SELECT row_id, cand, 1 / (1 + exp(-(length(prompt || substring(label, 1,
+               CAST(1 + row_id * (cand + 3) % 97 AS INTEGER))) / 1000 - 1))) AS score
+      FROM sampled, (SELECT unnest(range(4)) AS cand)),
+    pairs_of AS (
+      SELECT row_id, max(score) AS best, max(score) FILTER (cand = 0) AS first
+      FROM scored GROUP BY row_id)
+    SELECT 'policy' AS run, round(avg(first), 9) AS mean_ref, round(avg(best), 9) AS mean_best,
+           round(avg(best - first), 9) AS mean_uplift, count(*) AS n
+    FROM pairs_of""",
+)
+def _evaluate_end_to_end(spark, sf_dir):
+    """Sample, copies, answers, scorer, best of each, report."""
+    prompts = t.prompt_label(spark, sf_dir).withColumn("query", F.col("prompt"))
+    candidates = _answers(candidate_requests(prompts, 10, 4))
+    best = evaluate_candidates(candidates, _length_scorer, with_query=True)
+    first = evaluate_candidates(candidates.where("cand = 0"), _length_scorer, with_query=True)
+    report = evaluation_report(best, first)
+    means = ("mean_ref", "mean_best", "mean_uplift")
+    return report.withColumns({c: F.round(c, 9) for c in means})
+
+
 # --- ROUGE ---------------------------------------------------------------------------
 
 
@@ -921,7 +959,30 @@ def _rouge_2(spark, sf_dir):
     return _rounded_measures(rouge_n(_rouge_rows(spark, sf_dir), 2, key=_PAIR_KEY))
 
 
-@query("rouge_l")
+# A row of lengths per word of the prediction: the longest common subsequence of
+# the words so far with each beginning of the reference is a running maximum.
+_ROUGE_L_SQL = f"""RECURSIVE {PAIRS_SQL},
+    worded AS (
+      SELECT conv_id, turn, regexp_extract_all(lower(label), '[a-z0-9]+') AS p,
+             regexp_extract_all(lower(prompt), '[a-z0-9]+') AS r FROM pairs),
+    cells AS (
+      SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, j, CAST(0 AS BIGINT) AS v
+      FROM (SELECT conv_id, turn, unnest(range(1, len(r) + 1)) AS j FROM worded)
+      UNION ALL
+      SELECT conv_id, turn, i + 1, j, max(c) OVER (PARTITION BY conv_id, turn ORDER BY j)
+      FROM (SELECT conv_id, turn, i, j, CASE WHEN p[i + 1] = r[j]
+                   THEN 1 + coalesce(lag(v) OVER (PARTITION BY conv_id, turn ORDER BY j), 0)
+                   ELSE v END AS c
+            FROM cells JOIN worded USING (conv_id, turn) WHERE i < len(p))),
+    common AS (SELECT conv_id, turn, max(v) AS n FROM cells GROUP BY ALL),
+    f AS (
+      SELECT conv_id, turn, coalesce(n / nullif(len(p), 0), 0) AS precision,
+             coalesce(n / nullif(len(r), 0), 0) AS recall,
+             coalesce(2 * n / nullif(len(p) + len(r), 0), 0) AS f
+      FROM worded LEFT JOIN common USING (conv_id, turn))"""
+
+
+@query("rouge_l", f"WITH {_ROUGE_L_SQL} SELECT conv_id, turn, {_ROUGE_SHOWN} FROM f")
 def _rouge_l(spark, sf_dir):
     return _rounded_measures(rouge_l(_rouge_rows(spark, sf_dir), key=_PAIR_KEY))
 
@@ -1035,12 +1096,64 @@ def _write_best_of(spark, sf_dir):
     both = F.col("row_id") * 10 + (F.col("run") == "O").cast("int")
     path = fresh_path(spark, "best-of")
     sources.write_best_of(pairs.withColumn("row_id", both), path)
-    from duelframe.schemas import BEST_OF
-
     rows = sources.read_scores(spark, path, schema=BEST_OF)
     return rows.withColumns({c: F.round(c, 9) for c in ("score_ref", "score_best")})
 
 
+@query(
+    "best_of_csv",
+    f"""WITH {CANDIDATES_SQL}
+    SELECT f.row_id * 10 + CASE f.run WHEN 'O' THEN 1 ELSE 0 END AS row_id, f.query,
+           f.response AS response_ref, round(f.score, 9) AS score_ref,
+           b.response AS response_best, round(b.score, 9) AS score_best
+    FROM best b JOIN first_answers f USING (run, row_id)""",
+)
+def _best_of_csv(spark, sf_dir):
+    best, first = _best_and_first(spark, sf_dir)
+    pairs = pair_runs(best, first, ["run", "row_id"], "query")
+    both = F.col("row_id") * 10 + (F.col("run") == "O").cast("int")
+    path = fresh_path(spark, "best-of-csv")
+    sources.write_best_of(pairs.withColumn("row_id", both), path, "csv")
+    rows = sources.read_scores(spark, path, "csv", BEST_OF)
+    return rows.withColumns({c: F.round(c, 9) for c in ("score_ref", "score_best")})
+
+
+@query(
+    "read_prompt_label",
+    f"WITH {PROMPT_LABEL_SQL} SELECT row_id, prompt, label, split FROM prompt_label",
+)
+def _read_prompt_label(spark, sf_dir):
+    path = fresh_path(spark, "prompt-label")
+    t.prompt_label(spark, sf_dir).write.partitionBy("split").parquet(path)
+    return sources.read_prompt_label(spark, path)
+
+
+@query(
+    "register_task",
+    f"""WITH {COMPARISONS_SQL}
+    SELECT row_id, length(post) AS size FROM comparisons WHERE split = 'train'""",
+)
+def _register_task(spark, sf_dir):
+    def sizes(rows, settings):
+        return rows.select(settings.key, F.length("info.post").alias("size"))
+
+    if "post_sizes" not in TASKS:
+        task = Task(sizes, noised=False, splits=("train",), reads_pair=False)
+        register_task("post_sizes", task)
+    return prepare(t.comparisons(spark, sf_dir), "post_sizes")
+
+
+@query(
+    "with_key",
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) AS keys
+    FROM lineitem GROUP BY ALL""",
+)
+def _with_key(spark, sf_dir):
+    flags = t.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus")
+    keyed = with_key(flags).groupBy("l_returnflag", "l_linestatus")
+    return keyed.agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("keys"))
+
+
 @query(
     "append_game_log",
     f"""WITH {GAME_LOG_SQL}
