@@ -24,8 +24,10 @@ from duelframe.llm.common import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
-BLOCKS = 4  # of 16 bits
+# Items edited down to the least similarity differ in about 10 bits, rarely in more than 15.
+RADIUS = 19
+BLOCKS = 5  # of 12 or 13 bits
+BLOCK_ENDS = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
 ITEMS = 2048  # about so many of a benchmark are searched for at a time
 
 _EDGES = b"\"'`.,;:!?()[]{}<>*#-_"
@@ -62,26 +64,25 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def flips(most: int) -> np.ndarray:
-    """All 16-bit patterns with up to ``most`` bits set."""
-    return np.array(
-        [sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(16), n)],
-        np.int64,
-    )
+def flips(width: int, most: int) -> np.ndarray:
+    """All patterns of ``width`` bits with up to ``most`` bits set."""
+    chosen = [bits for n in range(most + 1) for bits in combinations(range(width), n)]
+    return np.array([sum(1 << b for b in bits) for bits in chosen], np.int64)
 
 
 def block_keys(fps: np.ndarray, block: int) -> np.ndarray:
     """A block's number and value; the flipped bits are those of the value."""
-    value = (fps >> np.uint64(16 * block)) & np.uint64(0xFFFF)
-    return value.astype(np.int64) | block << 16
+    low, high = BLOCK_ENDS[block], BLOCK_ENDS[block + 1]
+    value = (fps >> np.uint64(low)) & np.uint64((1 << high - low) - 1)
+    return value.astype(np.int64) | block << 13
 
 
 class Index:
     """Items by length in shingles, and by every value that a block of theirs may take.
 
-    Of four blocks one has no more than a quarter of the differing bits. The
+    Of five blocks one has no more than a fifth of the differing bits. The
     items' values are listed with that many bits flipped, so a window within the
-    radius finds the item at one of its own four values.
+    radius finds the item at one of its own five values.
     """
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
@@ -98,16 +99,16 @@ class Index:
         for _, s in self.items:
             for h in s.tolist():
                 self.having.setdefault(h, set()).add(len(s))
-        near = flips(RADIUS // BLOCKS)
         lengths = np.array([len(s) for _, s in self.items], np.int64)
-        keys = [np.zeros(0, np.int64)]
+        keys, owners = [], []
         for block in range(BLOCKS):
+            near = flips(BLOCK_ENDS[block + 1] - BLOCK_ENDS[block], RADIUS // BLOCKS)
             value = block_keys(self.fps, block)[:, None] ^ near
-            keys.append((lengths[:, None] << 18 | value).ravel())
-        self.keys = np.concatenate(keys)
+            keys.append((lengths[:, None] << 16 | value).ravel())
+            owners.append(np.repeat(np.arange(len(self.items), dtype=np.int32), len(near)))
+        self.keys, self.owners = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.owners = (order % (len(self.items) * len(near) or 1) // len(near)).astype(np.int32)
+        self.keys, self.owners = self.keys[order], self.owners[order]
         # one bit for each value of the first 20 bits
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.known >> np.uint64(44)] = True
@@ -182,7 +183,7 @@ class Index:
         """``(window, item)`` within the radius, from the blocks' keys."""
         pairs = []
         for block in range(BLOCKS):
-            keys = size << 18 | block_keys(fps, block)
+            keys = size << 16 | block_keys(fps, block)
             low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
             window = np.repeat(np.arange(len(fps)), high - low)
             within = np.arange(len(window)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)

@@ -468,3 +468,21 @@ def test_leaks_are_those_of_a_full_search(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(table, bench).collect()} == want and len(want) > 20
     monkeypatch.setattr(leaks, "ITEMS", 5)
     assert leaks.find_leaks(table, bench).count() >= 20
+
+
+def test_the_radius_covers_the_least_similarity():
+    """Items with words changed anywhere, against the similarity without fingerprints."""
+    rng = random.Random(4)
+    vocab = ["w%d" % k for k in range(5000)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(20, 60)))) for k in range(100)]
+    index = leaks.Index(items)
+    similar = found = 0
+    for k, text in items * 10:
+        words = text.split()
+        for _ in range(rng.randint(1, 2)):
+            words[rng.randrange(len(words))] = "changed%d" % rng.randrange(9)
+        window = Counter(leaks.shingles(index.hashed(leaks.tokens(" ".join(words)))).tolist())
+        if index.similarity(window, k) >= leaks.SIMILARITY:
+            similar += 1
+            found += k in {m[0] for m in index.search(" ".join(words))}
+    assert similar > 100 and found >= 0.99 * similar
