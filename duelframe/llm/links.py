@@ -85,7 +85,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """Personalised PageRank ``(kind, host, mass)`` from ``(kind, host, seed)``.
 
     ``trust`` follows the links; ``distrust`` goes from a host to those that
-    link to it. What a host without onward links holds goes nowhere.
+    link to it. What a host without onward links holds goes nowhere. Both sides
+    of each join are read from files: a side that is still grouped by the key
+    would keep adaptive execution from splitting a hub's links.
     """
 
     def edge(kind: str, src: str, dst: str) -> Column:
@@ -99,7 +101,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
             )
         ).alias("e")
     ).select("e.*")
-    out = both.groupBy("kind", "src").agg(F.count("*").alias("n"))
+    both = cut(both, "host-links")
+    out = cut(both.groupBy("kind", "src").agg(F.count("*").alias("n")), "host-degrees")
     edges = cut(both.join(out, ["kind", "src"]), "host-edges")
     seeds = cut(seeds, "host-seeds")
     again = seeds.select("kind", "host", F.expr(f"seed * {100 - KEPT_PERCENT} div 100 AS mass"))
@@ -112,7 +115,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
             F.expr(f"mass * {KEPT_PERCENT} div (100 * n)").alias("mass"),
         )
         mass = again.unionByName(carried).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if step % 3 == 0 and step < rounds:
+        if step < rounds:
             mass = cut(mass, "host-mass")
     return mass
 
@@ -128,7 +131,8 @@ def filter_urls(
     The longest fitting rule decides. A page without one is blocked if its
     host's distrust is more than ``threshold_percent`` of its trust and distrust
     together. A host is a seed of either by the share of its pages with such a
-    rule. A hub's links are joined as rows, which adaptive execution splits.
+    rule. The blocked hosts are written before the pages are joined to them, so
+    that a host with very many pages can be split.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     placed = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -151,7 +155,7 @@ def filter_urls(
         F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0)).alias("_distrust"),
     )
     bad = F.col("_distrust") * 100 > (F.col("_trust") + F.col("_distrust")) * threshold_percent
-    blocked = held.where(bad).select("host", F.lit("block").alias("_held"))
+    blocked = cut(held.where(bad).select("host", F.lit("block").alias("_held")), "blocked-hosts")
     return judged.join(blocked, "host", "left").select(
         "page_id",
         "host",
