@@ -178,7 +178,8 @@ def components(edges: DataFrame) -> DataFrame:
     def stars(links: DataFrame, large: bool) -> DataFrame:
         """From rows (a, b): b's and a's smallest neighbour."""
         least = links.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select("a", F.least("a", "m").alias("m"))
+        # written, as a side still grouped by the key would keep a hub from being split
+        least = cut(least.select("a", F.least("a", "m").alias("m")), "least")
         to = links.join(least, "a")
         to = to.where("b > a").select("b", "m") if large else to.select("b", "m").unionByName(
             least.select(F.col("a").alias("b"), "m")
@@ -208,7 +209,8 @@ def labels(marked: DataFrame, radius: int) -> DataFrame:
     named = points.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    names = named.groupBy("root").agg(F.min("least").alias("least"))
+    named = cut(named, "roots")
+    names = cut(named.groupBy("root").agg(F.min("least").alias("least")), "names")
     return named.drop("least").join(names, "root").select("fp", "least")
 
 
