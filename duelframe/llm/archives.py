@@ -46,7 +46,7 @@ def records(pages: DataFrame) -> DataFrame:
         .where("n > 1")
         .drop("n")
     )
-    joined = sized.join(shared.hint("shuffle_hash"), "digest", "left")
+    joined = sized.join(cut(shared, "warc-holders").hint("shuffle_hash"), "digest", "left")
     revisit = F.col("holder").isNotNull() & ~F.col("holder").eqNullSafe(F.col("page_id"))
     kind = F.when(revisit, "revisit").otherwise("response")
     held = F.when(revisit, "").otherwise(F.col("html"))
@@ -244,11 +244,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     held = rows.where("record_type = 'response'").groupBy(
         F.col("page_id").alias("_holder"), F.col("digest").alias("_digest")
     ).agg(F.max("bytes").alias("_bytes"))
-    revisit = F.col("record_type") == "revisit"
-    joined = rows.join(
-        held, revisit & (F.col("refers_to") == F.col("_holder")) & (F.col("said") == F.col("_digest")), "left"
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    # records without a reference stay out of the join, where they would be one group
+    joined = rows.where(revisit).join(
+        cut(held, "warc-held"),
+        (F.col("refers_to") == F.col("_holder")) & (F.col("said") == F.col("_digest")),
+        "left",
     )
-    return joined.select(
+    return joined.unionByName(rows.where(~revisit), allowMissingColumns=True).select(
         "page_id",
         F.when(revisit, F.col("_bytes")).otherwise(F.col("bytes")).cast("long").alias("payload_bytes"),
         F.when(revisit, F.col("_digest")).otherwise(F.col("digest")).alias("payload_digest"),
