@@ -54,8 +54,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """``(_id, _text_hash, lines)``: the places of the lines that repeat earlier ones.
 
     A window's first occurrence, by document and place, is found by a minimum
-    that tasks combine before the shuffle. The occurrences are joined to it as
-    rows, so the rows of a very common passage can be split.
+    that tasks combine before the shuffle. The occurrences are joined to it as rows,
+    and both sides are read from files, so a very common passage can be split.
     """
     all_windows = cut(windows(docs), "line-windows")
     place = F.struct(*_KEY, "at")
@@ -65,7 +65,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         .where("_n > 1")
         .drop("_n")
     )
-    later = all_windows.join(first, ["h1", "h2"]).where(place > F.col("_first"))
+    later = all_windows.join(cut(first, "line-firsts"), ["h1", "h2"]).where(place > F.col("_first"))
     covered = later.select(*_KEY, F.explode("at").alias("line")).distinct()
     return covered.groupBy(*_KEY).agg(F.collect_set("line").alias("lines"))
 
