@@ -203,7 +203,11 @@ def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def judged(stats: DataFrame, fences: DataFrame) -> DataFrame:
-    """``stats`` with ``base_failed`` and ``kept``."""
+    """``stats`` with ``base_failed`` and ``kept``.
+
+    Fences that are read from a file are known in size: few are broadcast, and
+    many are joined in a way that lets a very large source be split.
+    """
     fences = fences.withColumnsRenamed({g: f"_{g}" for g in GROUP})
     same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in GROUP]
     outside = F.lit(False)
@@ -223,7 +227,7 @@ def quality(docs: DataFrame) -> DataFrame:
     ``docs`` has ``doc_id, text, lang, source``; other columns are not read.
     """
     stats = cut(measured(docs, ("doc_id", *GROUP)), "quality")
-    return judged(stats, thresholds(sketches(stats))).select(
+    return judged(stats, cut(thresholds(sketches(stats)), "fences")).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -243,4 +247,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     row = F.struct(*[column(c) for c in docs.columns]).alias("_row")
     packed = docs.select(row, "text", *GROUP)
     stats = cut(measured(packed, ("_row", *GROUP)), "quality")
-    return judged(stats, thresholds(sketches(stats))).where("kept").select("_row.*")
+    return judged(stats, cut(thresholds(sketches(stats)), "fences")).where("kept").select("_row.*")
