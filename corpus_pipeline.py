@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelframe.llm import bpe, leaks, lines, quality, simhash
+from duelframe.llm import bpe, leaks, lines, quality, similar
 from duelframe.llm.common import cut
 from duelframe.llm.queries import table, vocabulary
 
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near copies, by fingerprints or five-word shingles, one document stays."""
+    return similar.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,14 +198,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def labels(marked: DataFrame, radius: int) -> DataFrame:
-    """``(fp, least)``: the first row of each fingerprint's component.
+    """``(fp, least)``: the first row of each fingerprint's component."""
+    return first_rows(marked, components(links(marked.select("fp").distinct(), radius)))
+
+
+def first_rows(marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(fp, least)``: the first row of each fingerprint's component in ``roots``.
 
     ``marked`` has ``doc_id, fp, n``, where ``n`` numbers the rows. Texts with the
     same fingerprint are one point, whatever their number. Null doc_ids come last.
     """
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n")
     points = marked.groupBy("fp").agg(F.min(row).alias("least"))
-    roots = components(links(points.select("fp"), radius))
     named = points.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )

@@ -22,6 +22,7 @@ from duelframe.llm import (
     quality,
     secret_scan,
     simhash,
+    similar,
     toxicity,
 )
 from duelframe.llm.queries import URL_RULES, vocabulary
@@ -415,6 +416,56 @@ def test_links_join_all_within_the_radius(spark, monkeypatch):
         assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
+def test_near_copies_are_those_of_all_pairs(spark, none, monkeypatch):
+    """Edited copies that fingerprints miss, against the Jaccard similarity of every pair."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    vocab = ["w%d" % k for k in range(3000)]
+    common = rng.choices(vocab, k=12)
+    texts = [None, "", "one two", "One  two", "one three"]
+    for _ in range(40):
+        base = rng.choices(vocab, k=rng.randint(20, 200)) + common
+        for edits in (0, len(base) // 60, len(base) // 45, len(base) // 25):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = "changed%d" % rng.randrange(999)
+            texts.append(" ".join(copy + rng.choices(vocab, k=rng.randint(0, 4))))
+    texts += [" ".join(rng.choices(vocab, k=60) + common) for _ in range(60)]
+    rng.shuffle(texts)
+
+    def grams(text):
+        ws = words(text)
+        return {tuple(w.lower() for w in ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    fps, sets = [plain_fingerprint(t) for t in texts], [grams(t) for t in texts]
+    parent, missed, fewer = list(range(len(texts))), 0, 0
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        close = (fps[i] ^ fps[j]).bit_count() <= 3
+        alike = bool(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+        missed += alike and not close
+        if close or alike:
+            low, high = sorted((find(i), find(j)))
+            parent[high] = low
+    assert missed > 20
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    want = sorted({find(k) for k in range(len(texts))})
+    assert len(similar._frequent(docs)) < 100
+    for sample, last in ((20_000, 3), (1, 10**9)):
+        monkeypatch.setattr(similar, "SAMPLE", sample)
+        monkeypatch.setattr(similar, "FREQUENT", last)
+        kept = corpus_pipeline.near_dedup(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == want
+    assert similar.keep_first(none).count() == 0
+
+
 # --- benchmark -------------------------------------------------------------------------
 
 
