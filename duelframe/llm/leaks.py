@@ -134,7 +134,8 @@ class Index:
         """Per item found ``(item_id, first word, words, similarity)``, by its best window.
 
         A window without a shingle of any item has similarity zero to all, so
-        fingerprints are made of windows with one, of the lengths of its items.
+        fingerprints are made of windows with one, of the lengths of its items. A
+        text with fewer shingles than an item is compared with it as a whole.
         """
         found = shingles(self.hashed(tokens(text)))
         maybe = np.flatnonzero(self.filter[found >> np.uint64(44)]) if len(found) else found
@@ -144,22 +145,23 @@ class Index:
         starts: dict[int, set[int]] = {}
         for i, h in hits:
             for size in self.having[h]:
-                last = len(found) - size
+                last = max(0, len(found) - size)
                 starts.setdefault(size, set()).update(range(max(0, i - size + 1), min(i, last) + 1))
         best: dict[int, tuple[float, int, int, int]] = {}
         for size, begin in starts.items():
-            at, fps = self._windows(found, np.array(sorted(begin), np.int64), size)
+            width = min(size, len(found))
+            at, fps = self._windows(found, np.array(sorted(begin), np.int64), width)
             for w, k in self._near(fps, size):
                 start = int(at[w])
-                window = Counter(found[start : start + size].tolist())
+                window = Counter(found[start : start + width].tolist())
                 similarity = self.similarity(window, k)
                 item_id = self.items[k][0]
                 known = best.get(item_id)
                 if similarity >= SIMILARITY and (known is None or (similarity, -start) > known[:2]):
-                    best[item_id] = (similarity, -start, size)
+                    best[item_id] = (similarity, -start, width)
         return [
-            (item_id, -at, size + SHINGLE - 1, similarity)
-            for item_id, (similarity, at, size) in sorted(best.items(), key=lambda x: str(x[0]))
+            (item_id, -at, width + SHINGLE - 1, similarity)
+            for item_id, (similarity, at, width) in sorted(best.items(), key=lambda x: str(x[0]))
         ]
 
     def _windows(

@@ -521,6 +521,32 @@ def test_leaks_are_those_of_a_full_search(spark, monkeypatch):
     assert leaks.find_leaks(table, bench).count() >= 20
 
 
+def test_leaks_in_texts_shorter_than_the_item(spark):
+    """Whole texts against all items, with the same radius and similarity."""
+    rng = random.Random(6)
+    vocab = ["w%d" % k for k in range(2000)]
+    items = [(k, rng.choices(vocab, k=rng.randint(14, 60))) for k in range(20)]
+    texts = []
+    for k, item in items:
+        for cut in (1, 3, 5, 9):
+            texts += [item[:-cut], item[cut:], item[cut:-1]]
+    texts = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    items = [(k, " ".join(t)) for k, t in items]
+    index = leaks.Index(items)
+    want = set()
+    for k, text in texts:
+        found = leaks.shingles(index.hashed(leaks.tokens(text)))
+        for i, (item_id, s) in enumerate(index.items):
+            bits = (leaks.simhash(found) ^ int(index.fps[i])).bit_count()
+            if len(found) < len(s) and bits <= leaks.RADIUS and index.similarity(Counter(found.tolist()), i) >= leaks.SIMILARITY:
+                want.add((k, item_id, 0, len(text.split())))
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = leaks.find_leaks(table, bench).collect()
+    assert {(r.doc_id, r.item_id, r.word, r.n_words) for r in got} == want and len(want) > 100
+    assert sorted(r.doc_id for r in leaks.without_leaks(table, bench).collect()) == sorted({k for k, _ in texts} - {w[0] for w in want})
+
+
 def test_the_radius_covers_the_least_similarity():
     """Items with words changed anywhere, against the similarity without fingerprints."""
     rng = random.Random(4)
