@@ -83,16 +83,23 @@ class Index:
     Of five blocks one has no more than a fifth of the differing bits. The
     items' values are listed with that many bits flipped, so a window within the
     radius finds the item at one of its own five values.
+
+    ``having`` counts the distinct items of the whole benchmark that have a
+    shingle, where they are several; without it these items are the whole.
     """
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], having: dict[int, int] | None = None) -> None:
         self.words: dict[bytes, int] = {}
         listed = [(item_id, shingles(self.hashed(tokens(text)))) for item_id, text in items]
         self.items = [(item_id, s) for item_id, s in listed if len(s)]
-        having = Counter(h for _, s in self.items for h in set(s.tolist()))
+        if having is None:
+            distinct = {frozenset(s.tolist()) for _, s in self.items}
+            having = Counter(h for own in distinct for h in own)
         #: a shingle that several items have says less about each
-        self.weights = {h: 1.0 / n for h, n in having.items()}
-        self.known = np.sort(np.array(list(having), np.uint64))
+        self.weights = {h: 1.0 / having.get(h, 1) for _, s in self.items for h in s.tolist()}
+        #: what an item does not have weighs as much as its own shingles do on average
+        self.foreign = [sum(self.weights[h] for h in s.tolist()) / len(s) for _, s in self.items]
+        self.known = np.sort(np.array(list(self.weights), np.uint64))
         self.fps = np.array([simhash(s) for _, s in self.items], np.uint64)
         self.counts = [Counter(s.tolist()) for _, s in self.items]
         self.having: dict[int, set[int]] = {}
@@ -122,10 +129,10 @@ class Index:
         return np.array([known[w] for w in words], np.uint64)
 
     def similarity(self, window: Counter, k: int) -> float:
-        """Common weight over all weight of two bags of shingles."""
+        """Common weight over all weight of two bags of shingles; only item ``k`` decides weights."""
         mine, both, all_ = self.counts[k], 0.0, 0.0
-        for h in mine.keys() | window.keys():
-            weight = self.weights.get(h, 1.0)
+        for h in sorted(mine.keys() | window.keys()):
+            weight = self.weights[h] if h in mine else self.foreign[k]
             both += weight * min(mine[h], window[h])
             all_ += weight * max(mine[h], window[h])
         return both / all_
@@ -198,26 +205,57 @@ class Index:
 class Items:
     """A block of the benchmark; workers keep its index as long as they keep the broadcast."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items = items
+    def __init__(self, items: list[tuple[int, str]], having: dict[int, int]) -> None:
+        self.items, self.having = items, having
 
     @cached_property
     def index(self) -> Index:
-        return Index(self.items)
+        return Index(self.items, self.having)
 
     def __getstate__(self) -> dict:
-        return {"items": self.items}
+        return {"items": self.items, "having": self.having}
+
+
+def _own(texts: pa.Array) -> pa.Array:
+    """Each item's distinct shingles in order."""
+    words: dict[bytes, int] = {}
+    found = []
+    for t in texts:
+        listed = tokens(t.as_py())
+        for w in set(listed).difference(words):
+            words[w] = xxh64_intdigest(w)
+        hashes = np.array([words[w] for w in listed], np.uint64)
+        found.append(np.unique(shingles(hashes)).view(np.int64))
+    return pa.array(found, pa.list_(pa.int64()))
+
+
+def _weighed(benchmark: DataFrame) -> DataFrame:
+    """``(item_id, text, shared)``: an item's shingles that several distinct items have, with their number.
+
+    Items with the same shingles are one, whatever their ids, case or punctuation.
+    """
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
+    own = F.arrow_udf(_own, "array<long>")("text")
+    items = cut(items.withColumn("own", own), "benchmark")
+    counted = items.select("own").distinct().select(F.explode("own").alias("shingle"))
+    counted = counted.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    counted = cut(counted, "shared-shingles")
+    each = items.select("item_id", "text", F.explode_outer("own").alias("shingle"))
+    told = F.when(F.col("n").isNotNull(), F.struct("shingle", "n"))
+    rows = each.join(counted, "shingle", "left").groupBy("item_id", "text")
+    return cut(rows.agg(F.collect_list(told).alias("shared")), "benchmark")
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> list[Broadcast]:
     """Broadcast blocks of about ``ITEMS`` items, however many the benchmark has."""
-    ordered = cut(benchmark.select("item_id", "text").where("text is not null"), "benchmark")
+    ordered = _weighed(benchmark)
     n = max(1, -(-ordered.count() // ITEMS))
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     shared = []
     for block in range(n):
         rows = ordered.where(place == block).orderBy("item_id", "text").collect()
-        items = Items([(r.item_id, r.text) for r in rows])
+        having = {m.shingle % (1 << 64): m.n for r in rows for m in r.shared}
+        items = Items([(r.item_id, r.text) for r in rows], having)
         shared.append(docs.sparkSession.sparkContext.broadcast(items))
     return shared
 

@@ -547,6 +547,33 @@ def test_leaks_in_texts_shorter_than_the_item(spark):
     assert sorted(r.doc_id for r in leaks.without_leaks(table, bench).collect()) == sorted({k for k, _ in texts} - {w[0] for w in want})
 
 
+def test_leaks_do_not_depend_on_blocks_or_repeated_items(spark, monkeypatch):
+    """Items under several ids with one inner word changed, and templated ones with one of the frame's."""
+    rng = random.Random(14)
+    vocab = ["w%d" % k for k in range(3000)]
+    frame = rng.choices(vocab, k=30)
+    items = [rng.choices(vocab, k=60) for _ in range(4)] + [frame + rng.choices(vocab, k=30) for _ in range(8)]
+    listed = [(k, " ".join(x)) for k, x in enumerate(items)]
+    listed += [(20 + k, " ".join(x)) for k, x in enumerate(items[:2])] + [(30, " ".join(items[0]).upper()), listed[1]]
+    listed += [(None, " ".join(items[3])), (31, ""), (32, None)]
+    texts = []
+    for k, item in enumerate(items):
+        for at in (3, 15, 40 if k < 4 else 20):
+            texts.append((k, " ".join(rng.choices(vocab, k=20) + item[:at] + ["changed"] + item[at + 1 :] + rng.choices(vocab, k=20))))
+    texts.append((99, " ".join(rng.choices(vocab, k=20) + frame + rng.choices(vocab, k=50))))
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(listed, "item_id long, text string")
+    found = []
+    for size in (2048, 5, 1):
+        monkeypatch.setattr(leaks, "ITEMS", size)
+        found.append(count(leaks.find_leaks(table, bench)))
+        assert [r.doc_id for r in leaks.without_leaks(table, bench).collect()] == [99]
+    assert found[0] == found[1] == found[2]
+    pairs = Counter((doc, item) for doc, item, *_ in found[0].elements())
+    assert all(pairs[k, item] == 3 for k, item in [(k, k) for k in range(12)] + [(0, 20), (0, 30), (1, 21), (3, None)])
+    assert not [doc for doc, _ in pairs if doc == 99]
+
+
 def test_the_radius_covers_the_least_similarity():
     """Items with words changed anywhere, against the similarity without fingerprints."""
     rng = random.Random(4)
