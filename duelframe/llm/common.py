@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.session import fresh_path
@@ -41,7 +42,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has returned, once nothing is read from them any more."""
+    for table in tables:
+        remove(table.sparkSession, _PATHS.pop(table))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the cluster's shared folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def column(name: str) -> Column:

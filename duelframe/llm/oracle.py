@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from duelframe.llm import archives, links, quality, secret_scan
+from duelframe.llm import archives, audit, links, quality, search, secret_scan
 from duelframe.llm.common import BLANKS, NOT_BLANK
 
 
@@ -219,3 +219,73 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {archives.LEAST_BYTES} AND holder IS DISTINCT FROM page_id
             THEN holder END AS refers_to
 FROM h"""
+
+
+def lexical_search() -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    found = f"regexp_extract_all({lowered('text')}, '{term}')"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {found} AS ts FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM d WHERE len(ts) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs),
+sized AS (SELECT r, doc_id, 75 + (25 * n * docs) // terms AS m FROM docs, corpus),
+counted AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM docs) GROUP BY ALL),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted, corpus GROUP BY t),
+items AS (SELECT row_number() OVER () AS q, item_id, {found} AS ts FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT q, t, count(*) AS times FROM (SELECT q, unnest(ts) AS t FROM items) GROUP BY ALL),
+scored AS (
+  SELECT q, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN counted USING (t) JOIN sized USING (r) GROUP BY ALL),
+ranked AS (
+  SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS nth
+  FROM scored JOIN sized USING (r) WHERE score > 0)
+SELECT item_id, CAST(nth AS INTEGER) AS rank, doc_id, score
+FROM ranked JOIN items USING (q) WHERE nth <= {search.TOP}"""
+
+
+def filter_audit() -> str:
+    orders = ", ".join(f"('{o}')" for o in audit.ORDERS)
+    bits = lambda s: " + ".join(
+        f"(CASE WHEN contains({s}, '{x}') THEN {1 << k} ELSE 0 END)" for k, x in enumerate(audit.FILTERS)
+    )
+    count = lambda where, of="true": (
+        f"CAST(coalesce(sum(n) FILTER (({where}) AND ({of})), 0) AS BIGINT)"
+    )
+    here = "mask & own > 0 AND mask & before = 0"
+    shapley = " ".join(f"WHEN {k} THEN {120 // k}" for k in range(1, 6))
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+         list_filter(string_split_regex(coalesce(text, ''), '{BLANKS}'), lambda w: w <> '') AS ws
+  FROM documents),
+l AS (
+  SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic
+  FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END)
+       + (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END)
+       + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END)
+       + (CASE WHEN regexp_matches(text, '[{audit.SYMBOLS}]') THEN 8 ELSE 0 END)
+       + (CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id
+                 OR doc_id IS NULL AND min(doc_id) OVER (PARTITION BY text) IS NOT NULL THEN 16 ELSE 0 END) AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+counts AS (SELECT part, mask, good, toxic, count(*) AS n FROM masks GROUP BY ALL),
+orders(filter_order) AS (VALUES {orders}),
+steps AS (
+  SELECT filter_order, step, {bits("filter_order[step]")} AS own,
+         {bits("substring(filter_order, 1, step - 1)")} AS before
+  FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step))
+SELECT part, filter_order, step,
+       {count("mask & (own | before) = 0")} AS kept,
+       {count(here)} AS removed,
+       {count("mask & own > 0 AND mask & before > 0")} AS redundant,
+       {count("mask = own")} AS unique_fails,
+       {count(here, "good")} AS good_lost,
+       {count(here, "toxic")} AS toxic_lost,
+       CAST(coalesce(sum(n * CASE bit_count(mask) {shapley} END) FILTER (mask & own > 0), 0) AS BIGINT) AS shapley
+FROM counts, steps GROUP BY part, filter_order, step"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from duelframe.llm import (
     archives,
+    audit,
     bpe,
     languages,
     leaks,
@@ -17,9 +18,11 @@ from duelframe.llm import (
     links,
     oracle,
     quality,
+    search,
     secret_scan,
     simhash,
     toxicity,
+    trees,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +89,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return trees.score(docs, trees.learn(docs, labels))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -99,6 +116,9 @@ QUERIES: dict[str, Query] = {
         op8_warc,
         op9_simhash,
         op10_decontamination,
+        op11_lexical_search,
+        op12_quality_classifier,
+        op13_filter_audit,
     )
 }
 
@@ -108,4 +128,6 @@ SQL: dict[str, str] = {
     "op3_quality_rules": oracle.quality_rules(),
     "op5_line_dedup": oracle.line_dedup(),
     "op8_warc": oracle.warc(),
+    "op11_lexical_search": oracle.lexical_search(),
+    "op13_filter_audit": oracle.filter_audit(),
 }
