@@ -29,7 +29,7 @@ FILTERS = "ABCDE"
 ORDERS = tuple("".join(p) for p in permutations(FILTERS))
 SYMBOLS = "#$%&*|"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-FILES = 64  # files of a micro-batch
+BATCHES = 8  # so many micro-batches at most, so that state is read as often at any size
 REPEATED = 1 << FILTERS.index("E")
 
 _KEY = "text_key"
@@ -198,19 +198,20 @@ def file_or_folder(path: str) -> str:
     return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
 
 
-def audit(spark: SparkSession, path: str, labels: DataFrame, files: int = FILES) -> DataFrame:
+def audit(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES) -> DataFrame:
     """One row per part, order of the filters and step, for the Parquet files at ``path``.
 
-    All files there are processed as micro-batches of ``files`` each, and the
+    All files there are processed, in at most ``batches`` micro-batches, and the
     stream ends. ``labels`` has ``doc_id, quality, toxic``.
     """
-    found = spark.read.parquet(path).schema
+    now = spark.read.parquet(path)
+    found, files = now.schema, -(-len(now.inputFiles()) // batches)
     schema = StructType([found[c] for c in ("doc_id", "text", "source")])
     folder = fresh_path(spark, "audit")
     counts = Counts(spark, labels.select("doc_id", "quality", "toxic"), posixpath.join(folder, "tables"))
     stream = (
         spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files)
+        .option("maxFilesPerTrigger", max(1, files))
         .parquet(file_or_folder(path))
         .writeStream.foreachBatch(counts.add)
         .option("checkpointLocation", posixpath.join(folder, "stream"))

@@ -28,7 +28,7 @@ def test_query(spark, sf_dir, db, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_the_pipeline_is_its_stages_in_turn(spark, sf_dir):
