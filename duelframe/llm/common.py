@@ -41,7 +41,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     Later jobs start from the files, so a lost executor costs no recomputation.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -5,7 +5,8 @@ The Manhattan distance of two such points is no more than the fingerprints'
 Hamming distance, so a pair within the radius lies within it on the grid too.
 The segments form blocks, of which the radius can touch no more than itself:
 such a pair agrees on all other blocks, and meets in the cell of some choice of
-them. What meets is then compared exactly.
+them. Points that meet and lie within the radius on the grid are then compared
+exactly.
 
 A null text is empty; texts without a word have the fingerprint zero. A null
 doc_id is linked like others, and is no component's name unless all are null.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from duelframe.llm.common import column, cut
+from duelframe.llm.common import column, cut, drop
 
 SEED = 42
 BLOCKS = 6
@@ -82,6 +83,25 @@ def cells(bits: np.ndarray) -> np.ndarray:
     return found
 
 
+def unary(bits: np.ndarray) -> np.ndarray:
+    """The point on the grid: as many low bits set in each segment as the segment has.
+
+    Two points' Manhattan distance is the number of bits that differ.
+    """
+    low = np.uint64(0x5555555555555555)
+    shifted = bits >> np.uint64(1)
+    return ((bits | shifted) & low) | (((bits & shifted) & low) << np.uint64(1))
+
+
+def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Pairs within the radius: by their points' Manhattan distance, then exactly."""
+    near = np.bitwise_count(unary(a) ^ unary(b)) <= radius
+    if near.any():
+        a, b = np.broadcast_arrays(a, b)
+        near[near] = np.bitwise_count(a[near] ^ b[near]) <= radius
+    return near
+
+
 def cell_links(cell: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest ``(a, b)`` that joins what is within the radius in each cell.
 
@@ -96,7 +116,7 @@ def cell_links(cell: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarr
     small = np.repeat(size <= 32, size)
     for step in range(1, min(32, size.max(initial=0))):
         i = np.flatnonzero(small[:-step] & (cell[:-step] == cell[step:]))
-        near = np.bitwise_count(bits[i] ^ bits[i + step]) <= radius
+        near = within(bits[i], bits[i + step], radius)
         a.append(fps[i[near]])
         b.append(fps[i[near] + step])
     for at, n in zip(first[size > 32], size[size > 32], strict=True):
@@ -104,7 +124,7 @@ def cell_links(cell: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarr
         while len(left):
             root, ahead, left = left[0], [left[0]], left[1:]
             while ahead and len(left):
-                near = np.bitwise_count(left ^ ahead.pop()) <= radius
+                near = within(left, ahead.pop(), radius)
                 reached = left[near]
                 ahead.extend(reached)
                 a.append(np.full(len(reached), root).view(np.int64))
@@ -132,7 +152,8 @@ def links(points: DataFrame, radius: int = 3) -> DataFrame:
     spread = F.arrow_udf(spread, "array<long>")
     placed = points.select("fp", F.explode(spread("fp")).alias("cell"))
     crowded = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    crowded = crowded.select("cell", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    # written, as few or none are known to be few then
+    crowded = cut(crowded.select("cell", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "crowded")
     parted = placed.join(crowded, "cell", "left").withColumn(
         "part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("parts")))
     )
@@ -184,13 +205,17 @@ def components(edges: DataFrame) -> DataFrame:
         to = to.where("b > a").select("b", "m") if large else to.select("b", "m").unionByName(
             least.select(F.col("a").alias("b"), "m")
         )
-        return to.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        out = cut(to.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        drop(least)
+        return out
 
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = signature(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        edges = cut(stars(cut(stars(both, True), "links"), False), "links")
+        half = stars(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), True)
+        drop(edges)
+        edges = stars(half, False)
+        drop(half)
         after = signature(edges)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

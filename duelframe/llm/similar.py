@@ -8,6 +8,11 @@ must have in common follows from the sizes; what remains is compared exactly.
 Any order gives the same links: frequent shingles of a sample come last, so that
 few sets are placed at them.
 
+Only shingles at which several groups meet are kept, and no two texts of a group
+that is joined already are compared. Each shingle's first text is compared with
+the others there first, as long as this joins enough of them: a large group of
+near copies becomes one so, and its texts aren't compared with each other.
+
 A null text is empty; a text without a word has no shingles and is linked by
 its fingerprint only. A text of fewer than five words is one shingle. Rows with
 an equal or null doc_id are linked each. An empty table gives no rows.
@@ -15,6 +20,8 @@ an equal or null doc_id are linked each. An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from duelframe.llm import simhash
-from duelframe.llm.common import column, cut
+from duelframe.llm.common import column, cut, drop
 from duelframe.llm.leaks import shingles
 
 # As whole numbers, so that no rounding decides: 4 / 5.
@@ -30,6 +37,7 @@ OF, IN = 4, 5
 SAMPLE = 20_000  # documents whose shingles are counted for the order, a tenth at most
 FREQUENT = 3  # documents of the sample
 LAST = 100_000  # shingles that are put last, at most
+KEYS = 1_000_000  # row numbers that are broadcast, at most; more are joined by a shuffle
 
 _WORDS: dict[bytes, int] = {}
 
@@ -68,26 +76,33 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.shingle for r in rows], np.int64))
 
 
-def _placed(last: np.ndarray) -> Column:
-    """A text's set as ``(same, size, first)``: its hash, its size and its first shingles."""
+def _known(text: str) -> Column:
+    """The hash and the size of a text's set."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t.as_py()) for t in texts]
+        same = [np.int64(xxh64_intdigest(own.tobytes()) >> 1) for own in sets]
+        sizes = pa.array([len(own) for own in sets], pa.int32())
+        return pa.StructArray.from_arrays([pa.array(same, pa.int64()), sizes], ["same", "size"])
+
+    return F.arrow_udf(run, "struct<same:long,size:int>")(text)
+
+
+def _placed(text: str, last: np.ndarray) -> Column:
+    """The first shingles of a text's set, where ``last`` come last."""
 
     def run(texts: pa.Array) -> pa.Array:
-        same, sizes, firsts = [], [], []
+        firsts = []
         for t in texts:
             own = shingle_set(t.as_py())
-            same.append(np.int64(xxh64_intdigest(own.tobytes()) >> 1))
-            sizes.append(len(own))
             if len(own):
                 at = np.minimum(np.searchsorted(last, own), max(len(last) - 1, 0))
                 late = last[at] == own if len(last) else np.zeros(len(own), bool)
                 own = np.concatenate([own[~late], own[late]])
             firsts.append(own[: _first(len(own))])
-        return pa.StructArray.from_arrays(
-            [pa.array(same, pa.int64()), pa.array(sizes, pa.int32()), _arrays(firsts)],
-            ["same", "size", "first"],
-        )
+        return _arrays(firsts)
 
-    return F.arrow_udf(run, "struct<same:long,size:int,first:array<long>>")("text")
+    return F.arrow_udf(run, "array<long>")(text)
 
 
 def _first(n: int) -> int:
@@ -95,69 +110,124 @@ def _first(n: int) -> int:
     return n - -(-OF * n // IN) + 1 if n else 0
 
 
-def similar_pairs(sets: DataFrame) -> DataFrame:
-    """Candidates ``(a, b)`` from ``n, size, first, root``: all similar ones, and few others.
+def _those(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose ``n`` is among written keys; whole rows move only where the keys are many."""
+    few = keys.limit(KEYS + 1).count() <= KEYS
+    return rows.join(F.broadcast(keys) if few else keys, "n", "left_semi")
+
+
+def _similar_sizes(a: str, b: str) -> str:
+    return f"{IN} * {a} >= {OF} * {b} AND {IN} * {b} >= {OF} * {a}"
 
-    Of rows whose first shingles end at the same or an earlier place, the common
-    ones among them are all those up to there; the remaining overlap is no more
-    than what the row has left. Rows with the same ``root`` are linked already.
+
+def _enough(met: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that meet as often as similar ones do, from ``a, b, _a, _b`` with sizes.
+
+    Of two sets whose first shingles end at the same or an earlier place, the
+    common ones among them are all those up to there; the remaining overlap is
+    no more than what the set has left.
     """
-    at = sets.select("n", "size", "root", F.explode("first").alias("shingle"))
-    one = at.select("shingle", F.col("n").alias("a"), F.col("size").alias("_a"), F.col("root").alias("_r"))
-    two = at.select("shingle", F.col("n").alias("b"), F.col("size").alias("_b"), F.col("root").alias("_s"))
-    met = one.join(two, "shingle").where(
-        f"a < b AND {IN} * _a >= {OF} * _b AND {IN} * _b >= {OF} * _a"
-        " AND (_r IS NULL OR _s IS NULL OR _r <> _s)"
-    )
     both = met.groupBy("a", "b", "_a", "_b").agg(F.count("*").alias("common"))
     whole = f"({OF} * (_a + _b) + {OF + IN - 1}) div {OF + IN}"
     most = f"({OF} * greatest(_a, _b) + {IN - 1}) div {IN}"
     return both.where(f"common >= {whole} - {most} + 1").select("a", "b")
 
 
-def similar_links(marked: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between fingerprints of texts that are similar, besides ``roots``.
+def first_pairs(mixed: DataFrame) -> DataFrame:
+    """Candidates of each shingle's first text with the others, from ``shingle, n, size, root, first``."""
+    met = mixed.where("root <> first.root AND " + _similar_sizes("size", "first.size"))
+    return _enough(met.selectExpr("first.n AS a", "n AS b", "first.size AS _a", "size AS _b"))
 
-    ``marked`` has ``n, fp, text, same, size, first``. Texts with the same set
-    are compared once.
-    """
-    alike = marked.where("size > 0").groupBy("same").agg(F.min("n").alias("n"), F.min("fp").alias("m"))
-    alike = cut(alike, "alike")
-    equal = marked.select("same", "fp").distinct().join(alike.select("same", "m"), "same")
-    joined = roots.select(F.col("node").alias("fp"), "root")
-    some = marked.select("n", "fp", "size", "first").join(alike.select("n"), "n", "left_semi")
-    some = cut(some.join(joined, "fp", "left").select("n", "size", "first", "root"), "first-shingles")
-    pairs = cut(similar_pairs(some), "similar-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    own = cut(
-        marked.select("n", "fp", "text").join(needed, "n", "left_semi").select("n", "fp", _sets("text").alias("own")),
-        "shingle-sets",
-    )
+
+def all_pairs(mixed: DataFrame) -> DataFrame:
+    """Candidates of any two texts at a shingle that aren't joined yet: all similar ones, and few others."""
+    one = mixed.selectExpr("shingle", "n AS a", "size AS _a", "root AS _r")
+    two = mixed.selectExpr("shingle", "n AS b", "size AS _b", "root AS _s")
+    return _enough(one.join(two, "shingle").where("a < b AND _r <> _s AND " + _similar_sizes("_a", "_b")))
+
+
+def _verified(marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between the fingerprints of written pairs that are similar, written."""
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), "needed")
+    own = cut(_those(marked, needed).select("n", "fp", _sets("text").alias("own")), "shingle-sets")
     one = own.select(F.col("n").alias("a"), F.col("fp").alias("_a"), F.col("own").alias("_own"))
     two = own.select(F.col("n").alias("b"), F.col("fp").alias("_b"), F.col("own").alias("_other"))
     common = F.size(F.array_intersect("_own", "_other"))
     every = F.size("_own") + F.size("_other") - common
     near = pairs.join(one, "a").join(two, "b").where(common * IN >= every * OF)
-    return (
-        near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        .unionByName(equal.where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")))
-        .distinct()
-    )
+    out = cut(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "similar-links")
+    drop(needed, own)
+    return out
+
+
+def _meeting(marked: DataFrame, last: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """``(n, fp, size)`` of one text for each set, and ``(shingle, n)`` of shingles where several meet."""
+    alike = cut(marked.where("size > 0").groupBy("same").agg(F.min("n").alias("n")).select("n"), "alike")
+    some = cut(_those(marked, alike).select("n", "fp", "size", _placed("text", last).alias("first")), "first-shingles")
+    at = some.select("n", F.explode("first").alias("shingle"))
+    several = at.groupBy("shingle").agg(F.count("*").alias("_times")).where("_times > 1").select("shingle")
+    several = cut(several, "several")
+    shared = cut(at.join(several, "shingle").select("shingle", "n"), "shared-shingles")
+    texts = cut(some.select("n", "fp", "size"), "texts")
+    drop(alike, some, several)
+    return texts, shared
+
+
+def _mixed(texts: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(shingle, n, size, root, first)`` where several groups meet, with the first text there; written."""
+    root = F.coalesce("root", "fp").alias("root")
+    named = cut(texts.join(roots, F.col("fp") == F.col("node"), "left").select("n", "size", root), "named")
+    rows = cut(shared.join(named, "n"), "shingle-texts")
+    first = F.min(F.struct("n", "size", "root")).alias("first")
+    least, most = F.min("root").alias("_least"), F.max("root").alias("_most")
+    met = rows.groupBy("shingle").agg(first, least, most).where("_least <> _most")
+    met = cut(met.select("shingle", "first"), "meeting")
+    out = cut(rows.join(met, "shingle"), "mixed-shingles")
+    drop(named, rows, met)
+    return out
+
+
+def similar_roots(marked: DataFrame, roots: DataFrame, last: np.ndarray) -> DataFrame:
+    """``(node, root)`` of fingerprints: ``roots``, and what similar texts join beyond them.
+
+    ``marked`` has ``n, fp, text, same, size``. Texts with the same set are
+    compared once.
+    """
+    firsts = marked.where("size > 0").groupBy("same").agg(F.min("fp").alias("m"))
+    firsts = cut(firsts, "same-sets")
+    equal = marked.where("size > 0").select("same", "fp").distinct().join(firsts, "same").where("fp <> m")
+    links = [roots.selectExpr("node AS a", "root AS b"), equal.selectExpr("fp AS a", "m AS b").distinct()]
+    joined = lambda: simhash.components(reduce(DataFrame.unionByName, links))
+    roots = joined()
+    texts, shared = _meeting(marked, last)
+    drop(firsts)
+    links = [roots.selectExpr("node AS a", "root AS b")]
+    before = None
+    while (n := (mixed := _mixed(texts, shared, roots)).count()) and (before is None or 2 * n <= before):
+        before = n
+        pairs = cut(first_pairs(mixed), "first-pairs")
+        links.append(_verified(marked, pairs))
+        roots = joined()
+        drop(mixed, pairs)
+    if n:
+        pairs = cut(all_pairs(mixed), "similar-pairs")
+        links.append(_verified(marked, pairs))
+        roots = joined()
+        drop(pairs)
+    drop(texts, shared, mixed, *links[1:])
+    return roots
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, that with the smallest doc_id, with all its columns."""
     row = F.struct(*[column(c) for c in docs.columns]).alias("_row")
     packed = simhash.fingerprints(docs.select(row, "doc_id", "text"))
-    packed = packed.withColumn("_set", _placed(_frequent(docs)))
+    packed = packed.withColumn("_set", _known("text"))
     marked = packed.select("_row", "doc_id", "fp", "_set.*", F.monotonically_increasing_id().alias("n"))
     marked = cut(marked, "fingerprints")
-    points = marked.select("fp").distinct()
-    roots = simhash.components(simhash.links(points))
-    texts = marked.select("n", "fp", F.col("_row").getField("text").alias("text"), "same", "size", "first")
-    more = similar_links(texts, roots)
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = simhash.components(stars.unionByName(more))
+    roots = simhash.components(simhash.links(marked.select("fp").distinct()))
+    texts = marked.select("n", "fp", F.col("_row").getField("text").alias("text"), "same", "size")
+    roots = similar_roots(texts, roots, _frequent(docs))
     first = simhash.first_rows(marked.select("doc_id", "fp", "n"), roots)
-    first = first.select(F.col("least.n").alias("n")).distinct()
-    return marked.join(first.hint("shuffle_hash"), "n", "left_semi").select("_row.*")
+    first = cut(first.select(F.col("least.n").alias("n")).distinct(), "kept-rows")
+    return _those(marked, first).select("_row.*")
