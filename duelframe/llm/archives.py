@@ -197,19 +197,20 @@ def reachable(candidates: DataFrame) -> DataFrame:
     """``(file, at)`` of the records that a chain from the start of their file reaches.
 
     ``candidates`` has ``file, at, next``. Pointer jumping: each round doubles how
-    far every pointer goes and the reached records' targets join them.
+    far every pointer goes and the reached records' targets join them. The joins
+    are by merging: the tables are small as files and many times larger in memory.
     """
     jump = candidates.select("file", "at", "next")
     reached = cut(candidates.where("at = 0").select("file", "at"), "warc-reached")
     longest = candidates.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     for _ in range(max(0, longest - 1).bit_length()):
         hop = jump.select("file", F.col("at").alias("from"), F.col("next").alias("at"))
-        further = reached.withColumnRenamed("at", "from").join(hop, ["file", "from"])
-        valid = candidates.select("file", "at")
+        further = reached.withColumnRenamed("at", "from").join(hop.hint("merge"), ["file", "from"])
+        valid = candidates.select("file", "at").hint("merge")
         further = further.select("file", "at").join(valid, ["file", "at"], "left_semi")
         reached = cut(reached.unionByName(further).distinct(), "warc-reached")
         second = jump.select("file", F.col("at").alias("next"), F.col("next").alias("_to"))
-        jump = cut(jump.join(second, ["file", "next"]).select("file", "at", F.col("_to").alias("next")), "warc-jump")
+        jump = cut(jump.join(second.hint("merge"), ["file", "next"]).select("file", "at", F.col("_to").alias("next")), "warc-jump")
     return reached
 
 
@@ -224,7 +225,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         "file", "at", (F.col("at") + F.col("step")).alias("next")
     )
     true = cut(reachable(candidates), "warc-true")
-    whole_records = found.where("complete").join(true, ["file", "at"], "left_semi")
+    whole_records = found.where("complete").join(true.hint("merge"), ["file", "at"], "left_semi")
     every = whole_records.select("page", "kind", "refers", "said", "bytes", "digest")
     owned = cut(_owned(found, true), "warc-owned")
     if not owned.isEmpty():
@@ -261,15 +262,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _owned(found: DataFrame, true: DataFrame) -> DataFrame:
-    """The pieces of records that the magic splits, with the place of their ``record``."""
-    marked = found.select("file", "split", "inside", "at", "complete").join(
-        true.select("file", "at", F.lit(True).alias("starts")), ["file", "at"], "left"
-    )
-    # a piece belongs to the last record that starts at or before it
-    upto = Window.partitionBy("file").orderBy("at")
-    owner = F.last(F.when(F.col("starts"), F.struct("at", "complete")), ignorenulls=True).over(upto)
-    owned = marked.withColumn("owner", owner).where("not owner.complete")
-    return owned.select("file", "split", "inside", "at", F.col("owner.at").alias("record"))
+    """The pieces of records that the magic splits, with the place of their ``record``.
+
+    A piece belongs to the last record that starts at or before it: in its own
+    split, or else in the last one before with a record. So a window spans the
+    pieces of a split, and another one row for each split of a file.
+    """
+    starts = true.select("file", "at", F.lit(True).alias("starts"))
+    marked = found.select("file", "split", "inside", "at", "complete").join(starts.hint("merge"), ["file", "at"], "left")
+    marked = cut(marked.withColumn("start", F.when(F.col("starts"), F.struct("at", "complete"))), "warc-marked")
+    lasts = marked.groupBy("file", "split").agg(F.max("start").alias("last"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = lasts.select("file", "split", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    upto = Window.partitionBy("file", "split").orderBy("at")
+    inside = marked.withColumn("own", F.last("start", ignorenulls=True).over(upto))
+    owned = inside.join(cut(before, "warc-before"), ["file", "split"]).withColumn("owner", F.coalesce("own", "before"))
+    return owned.where("not owner.complete").select("file", "split", "inside", "at", F.col("owner.at").alias("record"))
 
 
 def _broken(spark: SparkSession, path: str, owned: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ of each prefix holds the encoding of all of them. It grows at its end when bytes
 are appended, and an edit changes it from the edit up to where it agrees again.
 
 A null or empty text has no tokens. Rows with an equal doc_id are encoded one
-by one. Other columns are kept by ``encode`` and not read by ``token_report``.
-An empty table gives no rows.
+by one. Other columns are kept by ``encode``, but for one with the name of the ids,
+which is replaced, and not read by ``token_report``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,17 +41,22 @@ Digest = tuple[str, int, bytes]
 
 @dataclass
 class Vocabulary:
-    """Ranks of byte strings, and the pattern that splits a text into pieces."""
+    """Ranks of byte strings, and the pattern that splits a text into pieces.
+
+    ``blanks_apart`` says that a piece has a blank at its begin only, unless it is
+    all white space; then stretches between blanks may be split apart from each other.
+    """
 
     ranks: dict[bytes, int]
     pattern: str
+    blanks_apart: bool = False
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> Vocabulary:
+    def load(cls, path: str, pattern: str, blanks_apart: bool = False) -> Vocabulary:
         """From a file of lines with a token in base64 and its rank."""
         with open(path, "rb") as file:
             rows = (line.split() for line in file)
-            return cls({base64.b64decode(r[0]): int(r[1]) for r in rows if r}, pattern)
+            return cls({base64.b64decode(r[0]): int(r[1]) for r in rows if r}, pattern, blanks_apart)
 
     @cached_property
     def halves(self) -> dict[bytes, tuple[bytes, bytes]]:
@@ -256,14 +261,14 @@ class Encoder:
         return found
 
     def digests(self, text: str) -> list[Digest]:
-        """The digests of a text's pieces, or of runs of them.
+        """The digests of a text's pieces, or of runs of them where blanks keep pieces apart.
 
-        Between two blanks the pattern splits alike wherever the run stands, if
+        Between two blanks such a pattern splits alike wherever the run stands, if
         the run neither begins nor ends with white space; runs repeat, so most
         are looked up as a whole. Other texts are split piece by piece.
         """
         first, *runs = text.split(" ")
-        if first and first[-1] not in SPACES:
+        if self.vocab.blanks_apart and first and first[-1] not in SPACES:
             found = list(map(self.runs.get, runs))
             if None in found:
                 found = [f or self._run(r) for f, r in zip(found, runs, strict=True)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def column(name: str) -> Column:
     """A column by its exact name, whatever characters are in it."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def arrow_type(df: DataFrame, name: str) -> pa.DataType:
+    """The type of a column in Arrow batches."""
+    return df.select(column(name)).limit(0).toArrow().schema.field(name).type

@@ -3,6 +3,8 @@
 A text is cut into the longest phrases that occur in a language's reference text.
 The fewer phrases it takes, weighed by what a phrase of that reference costs, the
 closer the language. A suffix automaton of each reference finds the phrases.
+Phrases also end at every ``BLOCK`` bytes of a text, in all languages alike, so that
+long texts are parsed in step with others: one phrase more in so many bytes at most.
 
 A null text and one without letters is ``und`` with score 0. Ties go to the first
 language in order. Labelled rows without a text teach nothing; without any labelled

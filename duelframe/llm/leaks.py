@@ -1,9 +1,12 @@
 """Benchmark decontamination: windows as long as an item, by SimHash and then exactly.
 
+Items of fewer than five words are too short for fingerprints: their words are
+looked for in a row, anywhere in a text.
+
 A null text, of a document or an item, has no words and matches nothing. Rows
-with an equal doc_id are searched one by one; items with an equal item_id are
-matched each, and the best match counts. Other columns are not read. An empty
-table on either side gives no matches.
+with an equal doc_id are searched one by one; items with an equal item_id, of any
+type, are matched each, and the best match counts. Other columns are not read. An
+empty table on either side gives no matches.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from duelframe.llm.common import cut
+from duelframe.llm.common import arrow_type, cut, drop
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -41,10 +44,10 @@ def tokens(text: str | None) -> list[bytes]:
     return [w for w in found if w]
 
 
-def shingles(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each five words in a row; of all words where there are fewer."""
+def shingles(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """A hash of each five words, or ``width``, in a row; of all words where there are fewer."""
     n = len(hashes)
-    width = min(SHINGLE, n)
+    width = min(width, n)
     with np.errstate(over="ignore"):
         mixed = np.zeros(n - width + 1 if n else 0, np.uint64)
         for k in range(width):
@@ -90,8 +93,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], having: dict[int, int] | None = None) -> None:
         self.words: dict[bytes, int] = {}
-        listed = [(item_id, shingles(self.hashed(tokens(text)))) for item_id, text in items]
-        self.items = [(item_id, s) for item_id, s in listed if len(s)]
+        listed = [(item_id, self.hashed(tokens(text))) for item_id, text in items]
+        self.items = [(item_id, shingles(h)) for item_id, h in listed if len(h) >= SHINGLE]
+        #: ids of shorter items by their number of words and these words' hash
+        self.short: dict[int, dict[int, list]] = {}
+        for item_id, h in listed:
+            if 0 < len(h) < SHINGLE:
+                key = int(shingles(h)[0])
+                self.short.setdefault(len(h), {}).setdefault(key, []).append(item_id)
         if having is None:
             distinct = {frozenset(s.tolist()) for _, s in self.items}
             having = Counter(h for own in distinct for h in own)
@@ -113,7 +122,8 @@ class Index:
             value = block_keys(self.fps, block)[:, None] ^ near
             keys.append((lengths[:, None] << 16 | value).ravel())
             owners.append(np.repeat(np.arange(len(self.items), dtype=np.int32), len(near)))
-        self.keys, self.owners = np.concatenate(keys), np.concatenate(owners)
+        none = np.zeros(0, np.int64)
+        self.keys, self.owners = np.concatenate([none, *keys]), np.concatenate([none.astype(np.int32), *owners])
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.owners = self.keys[order], self.owners[order]
         # one bit for each value of the first 20 bits
@@ -144,11 +154,13 @@ class Index:
         fingerprints are made of windows with one, of the lengths of its items. A
         text with fewer shingles than an item is compared with it as a whole.
         """
-        found = shingles(self.hashed(tokens(text)))
+        hashes = self.hashed(tokens(text))
+        short = self._short(hashes)
+        found = shingles(hashes) if len(hashes) >= SHINGLE else hashes[:0]
         maybe = np.flatnonzero(self.filter[found >> np.uint64(44)]) if len(found) else found
         hits = [(i, h) for i in maybe.tolist() if (h := int(found[i])) in self.having]
         if not hits:
-            return []
+            return short
         starts: dict[int, set[int]] = {}
         for i, h in hits:
             for size in self.having[h]:
@@ -166,11 +178,25 @@ class Index:
                 known = best.get(item_id)
                 if similarity >= SIMILARITY and (known is None or (similarity, -start) > known[:2]):
                     best[item_id] = (similarity, -start, width)
+        for item_id, at, width, similarity in short:
+            if item_id not in best or best[item_id][0] < similarity:
+                best[item_id] = (similarity, -at, width - SHINGLE + 1)
         return [
             (item_id, -at, width + SHINGLE - 1, similarity)
             for item_id, (similarity, at, width) in sorted(best.items(), key=lambda x: str(x[0]))
         ]
 
+    def _short(self, hashes: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """Items of fewer than five words, where they occur first."""
+        found = {}
+        for width, known in self.short.items():
+            if len(hashes) >= width:
+                own = shingles(hashes, width)
+                for at in np.flatnonzero(np.isin(own, np.fromiter(known, np.uint64, len(known)))).tolist():
+                    for item_id in known[int(own[at])]:
+                        found.setdefault(item_id, (item_id, at, width, 1.0))
+        return sorted(found.values(), key=lambda x: str(x[0]))
+
     def _windows(
         self, found: np.ndarray, begin: np.ndarray, size: int
     ) -> tuple[np.ndarray, np.ndarray]:
@@ -243,33 +269,33 @@ def _weighed(benchmark: DataFrame) -> DataFrame:
     each = items.select("item_id", "text", F.explode_outer("own").alias("shingle"))
     told = F.when(F.col("n").isNotNull(), F.struct("shingle", "n"))
     rows = each.join(counted, "shingle", "left").groupBy("item_id", "text")
-    return cut(rows.agg(F.collect_list(told).alias("shared")), "benchmark")
+    return rows.agg(F.collect_list(told).alias("shared"))
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame) -> list[Broadcast]:
-    """Broadcast blocks of about ``ITEMS`` items, however many the benchmark has."""
-    ordered = _weighed(benchmark)
-    n = max(1, -(-ordered.count() // ITEMS))
-    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    shared = []
+def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """Blocks of about ``ITEMS`` items, however many the benchmark has; the driver holds one."""
+    weighed = _weighed(benchmark)
+    n = max(1, -(-weighed.count() // ITEMS))
+    place = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block")
+    # in order, so that a block is read from its part of the files
+    ordered = cut(weighed.select("*", place).repartitionByRange("block").sortWithinPartitions("block"), "benchmark")
     for block in range(n):
-        rows = ordered.where(place == block).orderBy("item_id", "text").collect()
+        rows = ordered.where(F.col("block") == block).orderBy("item_id", "text").collect()
         having = {m.shingle % (1 << 64): m.n for r in rows for m in r.shared}
-        items = Items([(r.item_id, r.text) for r in rows], having)
-        shared.append(docs.sparkSession.sparkContext.broadcast(items))
-    return shared
+        yield Items([(r.item_id, r.text) for r in rows], having)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, word, n_words, similarity)``: where documents hold items.
 
     The benchmark is searched for in blocks, each with an index of bounded size
-    and in a pass of its own; no document moves.
+    and in a pass of its own, whose matches are written; no document moves.
     """
     names = ("item_id", "word", "n_words", "similarity")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    kinds = (arrow_type(benchmark, "item_id"), pa.int64(), pa.int64(), pa.float64())
     kind = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
-    schema = "array<struct<item_id:long,word:long,n_words:long,similarity:double>>"
+    named = benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"array<struct<item_id:{named},word:long,n_words:long,similarity:double>>"
 
     def searched(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -279,13 +305,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.array([[dict(zip(names, m, strict=True)) for m in h] for h in hits], kind)
 
         found = docs.select("doc_id", F.explode(F.arrow_udf(run, schema)("text")).alias("m"))
-        return found.select("doc_id", "m.*")
+        return cut(found.select("doc_id", "m.*"), "leaks")
 
-    return reduce(DataFrame.unionByName, map(searched, _blocks(docs, benchmark)))
+    found = []
+    for items in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        found.append(searched(shared))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all columns; rows are not moved."""
+    """The documents that hold no item, with all columns; rows are not moved.
+
+    What the blocks but the last leave is written before the next one is read.
+    """
 
     def clean(shared: Broadcast) -> Column:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -295,6 +329,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return F.arrow_udf(run, "boolean")(F.col("text"))
 
-    for shared in _blocks(docs, benchmark):
-        docs = docs.where(clean(shared))
-    return docs
+    left, shared = docs, None
+    for items in _blocks(benchmark):
+        if shared is not None:
+            before, left = left, cut(left.where(clean(shared)), "clean")
+            shared.destroy()
+            if before is not docs:
+                drop(before)
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+    return left.where(clean(shared))

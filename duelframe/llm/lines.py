@@ -2,8 +2,9 @@
 
 A null text stays null and has no lines. Lines without a word take no part and
 stay. Texts of fewer than three lines with words are never changed. Rows are
-told apart by doc_id (null comes first) and text: full repeats of a row are one
-document given twice and come out alike. An empty table gives no rows.
+told apart by doc_id, a number or a string (null comes first), and text: full
+repeats of a row are one document given twice and come out alike. Other columns
+are kept, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,18 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import NOT_BLANK, column, cut, indexes, let
+from duelframe.llm.common import NOT_BLANK, column, cut, drop, indexes, let
 
-# A null doc_id sorts before all others.
-_FIRST = -(1 << 63)
 _KEY = ("_id", "_text_hash")
 
 
 def _keys() -> list[Column]:
-    return [
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("_id"),
-        F.xxhash64("text").alias("_text_hash"),
-    ]
+    """A null doc_id sorts before all others."""
+    return [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_hash")]
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -65,18 +62,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         .where("_n > 1")
         .drop("_n")
     )
-    later = all_windows.join(cut(first, "line-firsts"), ["h1", "h2"]).where(place > F.col("_first"))
+    first = cut(first, "line-firsts")
+    later = all_windows.join(first, ["h1", "h2"]).where(place > F.col("_first"))
     covered = later.select(*_KEY, F.explode("at").alias("line")).distinct()
-    return covered.groupBy(*_KEY).agg(F.collect_set("line").alias("lines"))
+    gone = cut(covered.groupBy(*_KEY).agg(F.collect_set("line").alias("lines")), "repeated-lines")
+    drop(all_windows, first)
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, ``text`` without repeated lines, and ``_n_lines, _n_removed``."""
+    """``(row, n_lines, n_removed)``: the columns of ``docs`` with ``text`` without repeated lines.
+
+    Repeated lines are read from a file, so rows of one doc_id can be split.
+    """
     row = F.struct(*[column(c) for c in docs.columns]).alias("_row")
-    gone = repeated_lines(docs).withColumnsRenamed({k: f"_g{k}" for k in _KEY})
+    gone = repeated_lines(docs.select("doc_id", "text")).withColumnsRenamed({k: f"_g{k}" for k in _KEY})
     joined = docs.select(row, "text", *_keys()).join(
         gone.hint("shuffle_hash"),
-        (F.col("_id") == F.col("_g_id")) & (F.col("_text_hash") == F.col("_g_text_hash")),
+        F.col("_id").eqNullSafe(F.col("_g_id")) & (F.col("_text_hash") == F.col("_g_text_hash")),
         "left",
     )
     left = let(
@@ -90,20 +93,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     count = lambda xs: F.when(xs.isNull(), 0).otherwise(F.size(xs))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(left)
+    fields = [(text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns]
     return joined.select(
-        *[(text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns],
-        count(F.split("text", "\n")).alias("_n_lines"),
-        count(F.col("lines")).alias("_n_removed"),
+        F.struct(*fields).alias("row"),
+        count(F.split("text", "\n")).alias("n_lines"),
+        count(F.col("lines")).alias("n_removed"),
     )
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, n_lines, n_removed)`` for every document."""
     return dedup_lines(docs.select("doc_id", "text")).select(
-        "doc_id",
-        "text",
-        F.col("_n_lines").cast("long").alias("n_lines"),
-        F.col("_n_removed").cast("long").alias("n_removed"),
+        "row.doc_id",
+        "row.text",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_removed").cast("long").alias("n_removed"),
     )
 
 
@@ -112,10 +116,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is one, follows the new text.
     """
-    done = dedup_lines(docs)
-    emptied = (F.col("_n_removed") > 0) & ~F.col("text").rlike(NOT_BLANK)
-    kept = done.where(~F.coalesce(emptied, F.lit(False)))
-    if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        kept = kept.withColumn("n_chars", F.when(F.col("_n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return kept.drop("_n_lines", "_n_removed")
+    changed, row = F.col("n_removed") > 0, F.col("row")
+    emptied = changed & ~row["text"].rlike(NOT_BLANK)
+    kept = dedup_lines(docs).where(~F.coalesce(emptied, F.lit(False)))
+    fields = {c: row[c] for c in docs.columns}
+    if "n_chars" in fields:
+        length = F.length(row["text"]).cast(docs.schema["n_chars"].dataType)
+        fields["n_chars"] = F.when(changed, length).otherwise(row["n_chars"])
+    return kept.select(*[value.alias(c) for c, value in fields.items()])

@@ -16,20 +16,20 @@ def lowered(value: str) -> str:
     return f"translate({value}, '{ascii_uppercase}', '{ascii_lowercase}')"
 
 
-def url_filters(rules: tuple[tuple[str, str], ...], rounds: int = 8, threshold: int = 60) -> str:
+def url_filters(rules: tuple[tuple[str, str], ...], threshold: float = 0.6) -> str:
     listed = ", ".join(
         f"({quoted(verdict)}, {quoted(rule)}, {quoted(rule.partition('/')[0])}, "
         f"{quoted(rule[len(rule.partition('/')[0]):])})"
         for verdict, rule in rules
     )
-    kept = links.KEPT_PERCENT
+    kept, rounds = links.KEPT, links.rounds_for()
     steps = "".join(
         f""",
-mass{k} AS (
-  SELECT kind, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
-    SELECT kind, host, seed * {100 - kept} // 100 AS mass FROM seeds
+mass{k} AS MATERIALIZED (
+  SELECT kind, host, sum(mass) AS mass FROM (
+    SELECT kind, host, seed * {1 - kept}::DOUBLE AS mass FROM seeds
     UNION ALL
-    SELECT e.kind, e.dst, m.mass * {kept} // (100 * e.n)
+    SELECT e.kind, e.dst, m.mass * {kept}::DOUBLE / e.n
     FROM mass{k - 1} m JOIN e ON m.kind = e.kind AND m.host = e.src)
   GROUP BY ALL)"""
         for k in range(1, rounds + 1)
@@ -48,21 +48,17 @@ fit AS (
   GROUP BY n),
 judged AS (SELECT p.*, rule, verdict FROM p LEFT JOIN fit USING (n)),
 shares AS (
-  SELECT host, count(*) FILTER (verdict = 'allow') * {links.UNIT} // count(*) AS trust,
-         count(*) FILTER (verdict = 'block') * {links.UNIT} // count(*) AS distrust
+  SELECT host, count(*) FILTER (verdict = 'allow')::DOUBLE / count(*) AS trust,
+         count(*) FILTER (verdict = 'block')::DOUBLE / count(*) AS distrust
   FROM judged WHERE host <> '' GROUP BY host),
 seeds AS (
   SELECT 'trust' AS kind, host, trust AS seed FROM shares WHERE trust > 0
   UNION ALL SELECT 'distrust', host, distrust FROM shares WHERE distrust > 0),
-near AS (
-  SELECT host AS src, regexp_extract(host, '^[^.]+\\.(.+\\..+)$', 1) AS dst
-  FROM (SELECT DISTINCT host FROM p)),
 linked AS (
   SELECT host AS src, {lowered("unnest(regexp_extract_all(html, " + quoted(links.LINK) + ", 1))")} AS dst
   FROM p),
 edges AS (
-  SELECT DISTINCT src, dst FROM (
-    SELECT * FROM linked UNION ALL SELECT * FROM near UNION ALL SELECT dst, src FROM near)
+  SELECT DISTINCT src, dst FROM linked
   WHERE src <> '' AND dst <> '' AND src <> dst),
 both_ways AS (
   SELECT 'trust' AS kind, src, dst FROM edges UNION ALL SELECT 'distrust', dst, src FROM edges),
@@ -73,7 +69,7 @@ held AS (
          coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust
   FROM mass{rounds} GROUP BY host)
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN distrust * 100 > (trust + distrust) * {threshold}
+       coalesce(verdict, CASE WHEN distrust > (trust + distrust) * {threshold * (1 + links.SAME)}::DOUBLE
                               THEN 'block' END, 'allow') AS verdict
 FROM judged LEFT JOIN held USING (host)"""
 
@@ -113,18 +109,17 @@ def quality_rules() -> str:
         f"SELECT {group}, '{m.name}' AS measure, {m.name} AS v FROM m WHERE NOT base_failed"
         for m in quality.MEASURES
     )
-    margins = " ".join(f"WHEN '{m.name}' THEN {m.margin}" for m in quality.MEASURES)
-    below = ", ".join(f"'{m.name}'" for m in quality.MEASURES if m.below)
+    of = lambda field: " ".join(f"WHEN '{m.name}' THEN {getattr(m, field)}" for m in quality.MEASURES)
     fences = lambda name, by: f"""
 {name} AS (
   SELECT {by}measure, docs,
-         CASE WHEN measure IN ({below}) THEN q5 - greatest((q9 - q5) * {quality.REACH}, margin) END AS low,
-         q5 + greatest((q5 - q1) * {quality.REACH}, margin) AS high
+         CASE WHEN CASE measure {of("below")} END THEN middle - (middle - lower) * reach - guard END AS low,
+         middle + (upper - middle) * reach + guard AS high
   FROM (
-    SELECT {by}measure, docs, CASE measure {margins} END AS margin,
-           min(bucket) FILTER (upto * 10 >= docs * 1) AS q1,
-           min(bucket) FILTER (upto * 10 >= docs * 5) AS q5,
-           min(bucket) FILTER (upto * 10 >= docs * 9) AS q9
+    SELECT {by}measure, docs, CASE measure {of("reach")} END AS reach, CASE measure {of("guard")} END AS guard,
+           min(bucket) FILTER (upto * 100 >= docs * (100 - CASE measure {of("at")} END)) AS lower,
+           min(bucket) FILTER (upto * 100 >= docs * 50) AS middle,
+           min(bucket) FILTER (upto * 100 >= docs * CASE measure {of("at")} END) AS upper
     FROM (
       SELECT {by}measure, bucket, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto,
              sum(n) OVER (PARTITION BY {by}measure) AS docs
@@ -161,7 +156,7 @@ stats AS (
 m AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {measures} FROM stats),
 sketch AS (
-  SELECT {group}, measure, v - v % (1 << greatest(length(bin(v)) - 6, 0)) AS bucket, count(*) AS n
+  SELECT {group}, measure, v - v % (1 << greatest(length(bin(v)) - 8, 0)) AS bucket, count(*) AS n
   FROM ({values}) GROUP BY ALL),{fences("own", group + ", ")},{fences("by_lang", "lang, ")},{fences("by_all", "")},
 chosen AS (
   SELECT o.lang, o.source, o.measure,

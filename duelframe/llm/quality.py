@@ -22,26 +22,31 @@ GROUP = ("lang", "source")
 
 @dataclass(frozen=True)
 class Measure:
-    """A whole number per document, and how far from the middle it may lie.
+    """A whole number per document, and how far from its group's median it may lie.
 
-    Fences lie ``reach`` times the distance from the median to the tenth (or
-    ninetieth) percentile away from it, and ``margin`` at least.
+    The upper fence lies ``reach`` times the distance from the median to the
+    ``at``-th percentile beyond the median, the lower one as far from it as the
+    opposite percentile says. ``guard`` covers the width of a bucket and single words.
     """
 
     name: str
     of: str
-    margin: int
+    at: int
+    reach: int
+    guard: int
     below: bool = False
 
 
+# Symbols and word lengths spread around the middle, and what lies far beyond the middle
+# half of a group is junk there. Few ordinary texts repeat or shout at all, and those that
+# do differ much, so these are measured by their group's highest hundredth.
 MEASURES = (
-    Measure("symbols", "n_symbols * 1000 div nullif(n_words, 0)", 250),
-    Measure("dup_lines", "n_dup_lines * 1000 div nullif(n_lines, 0)", 350),
-    Measure("repeats", "n_repeat_words * 1000 div nullif(n_words, 0)", 400),
-    Measure("word_length", "word_chars * 100 div nullif(n_words, 0)", 350, below=True),
-    Measure("capitals", "n_capitals * 1000 div nullif(word_chars, 0)", 300),
+    Measure("symbols", "n_symbols * 1000 div nullif(n_words, 0)", at=75, reach=4, guard=20),
+    Measure("dup_lines", "n_dup_lines * 1000 div nullif(n_lines, 0)", at=99, reach=3, guard=20),
+    Measure("repeats", "n_repeat_words * 1000 div nullif(n_words, 0)", at=99, reach=3, guard=20),
+    Measure("word_length", "word_chars * 100 div nullif(n_words, 0)", at=75, reach=10, guard=40, below=True),
+    Measure("capitals", "n_capitals * 1000 div nullif(word_chars, 0)", at=99, reach=5, guard=5),
 )
-REACH = 4
 MIN_DOCS = 50
 
 
@@ -120,7 +125,7 @@ def sketches(stats: DataFrame) -> DataFrame:
 
     A sketch counts its values by bucket, so that sketches merge by adding
     counts: tasks merge theirs on the map side, languages and the whole are
-    merged from sources. A bucket is 1/32 of its value wide at most.
+    merged from sources. A bucket is 1/128 of its value wide at most.
     """
     values = F.explode(
         F.array(
@@ -131,7 +136,7 @@ def sketches(stats: DataFrame) -> DataFrame:
         )
     )
     rows = stats.where(~base_failed()).select(*GROUP, values.alias("x")).select(*GROUP, "x.*")
-    low = F.length(F.bin("v")) - 6
+    low = F.length(F.bin("v")) - 8
     width = F.expr("shiftleft(1L, greatest(_low, 0))")
     rows = rows.withColumn("_low", low).select(
         *GROUP, "measure", (F.col("v") - F.col("v") % width).alias("bucket")
@@ -151,21 +156,24 @@ def _fences(sketch: DataFrame, *group: str) -> DataFrame:
         F.sum("n").over(upto).alias("_upto"),
         F.sum("n").over(whole_group).alias("docs"),
     )
-    at = lambda tenths: F.min(
-        F.when(F.col("_upto") * 10 >= F.col("docs") * tenths, F.col("bucket"))
-    ).alias(f"_q{tenths}")
-    quantiles = ranked.groupBy(*group, "measure", "docs").agg(at(1), at(5), at(9))
-    margin, below = F.lit(None).cast("long"), F.lit(False)
-    for m in MEASURES:
-        margin = F.when(F.col("measure") == m.name, m.margin).otherwise(margin)
-        below = F.when(F.col("measure") == m.name, m.below).otherwise(below)
-    middle = F.col("_q5")
+    def of(field: str) -> Column:
+        """The field of the row's measure."""
+        value = F.lit(None)
+        for m in MEASURES:
+            value = F.when(F.col("measure") == m.name, getattr(m, field)).otherwise(value)
+        return value
+
+    at = lambda percent: F.min(F.when(F.col("_upto") * 100 >= F.col("docs") * percent, F.col("bucket")))
+    quantiles = ranked.groupBy(*group, "measure", "docs").agg(
+        at(100 - of("at")).alias("_low"), at(F.lit(50)).alias("_middle"), at(of("at")).alias("_high")
+    )
+    middle = F.col("_middle")
     return quantiles.select(
         *group,
         "docs",
         "measure",
-        F.when(below, middle - F.greatest((F.col("_q9") - middle) * REACH, margin)).alias("low"),
-        (middle + F.greatest((middle - F.col("_q1")) * REACH, margin)).alias("high"),
+        F.when(of("below"), middle - (middle - F.col("_low")) * of("reach") - of("guard")).alias("low"),
+        (middle + (F.col("_high") - middle) * of("reach") + of("guard")).alias("high"),
     )
 
 

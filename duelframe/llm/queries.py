@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def vocabulary() -> bpe.Vocabulary:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.Vocabulary.load(path, public_tokenizers.PATTERN)
+    return bpe.Vocabulary.load(path, public_tokenizers.PATTERN, blanks_apart=True)
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

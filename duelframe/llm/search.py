@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from duelframe.llm.common import cut, drop
+from duelframe.llm.common import arrow_type, cut, drop
 
 TOP = 20
 BLOCK_WORDS = 1 << 17  # words of the items that are searched for at a time
@@ -223,7 +223,7 @@ def search_block(docs: DataFrame, items: DataFrame, ids: pa.Array, words: list[l
             StructField("score", LongType()),
         ]
     )
-    kinds = pa.schema([("slot", pa.int32()), ("item_id", ids.type), ("doc_id", _arrow(docs, "doc_id")), ("score", pa.int64())])
+    kinds = pa.schema([("slot", pa.int32()), ("item_id", ids.type), ("doc_id", arrow_type(docs, "doc_id")), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(block.value, top)
@@ -240,13 +240,9 @@ def search_block(docs: DataFrame, items: DataFrame, ids: pa.Array, words: list[l
     return out
 
 
-def _arrow(df: DataFrame, name: str) -> pa.DataType:
-    return df.select(name).limit(0).toArrow().schema.field(name).type
-
-
 def blocks(items: DataFrame, most: int = BLOCK_WORDS) -> Iterator[tuple[pa.Array, list[list[bytes]]]]:
     """Ids and terms of items, some at a time; the driver holds one block and one partition's rows."""
-    kind = _arrow(items, "item_id")
+    kind = arrow_type(items, "item_id")
     ids, words, n = [], [], 0
     for row in items.select("item_id", "text").toLocalIterator():
         ids.append(row.item_id)

@@ -15,7 +15,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import let, whole
+from duelframe.llm.common import cut, indexes, let, whole
 
 MOST_STRINGS = 64  # spelled out per run of a regex; a larger class ends the run
 
@@ -165,37 +165,64 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return full.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+_FOUND = "array<struct<start:int,no:int,end:int,kind:string>>"
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """``(start, kind_no, end, kind)`` of a rule's matches in code points, end exclusive.
 
-    The text between matches gives their places.
+    The text between matches gives their places. Running sums are made in runs of
+    matches, as many as a run has: a list that grows by one is copied each time,
+    so with ``n`` matches the copies take the square root of ``n`` times ``n`` steps.
     """
     regex = F.lit(rule.regex)
-    none = F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")
+    none = F.array().cast(_FOUND)
+    numbers = F.array().cast("array<int>")
+
+    def running(values: Column, first: Column) -> Column:
+        """``first`` and its sums with the values in turn, the last one left out."""
+        start = F.struct(first.alias("at"), numbers.alias("out"))
+        add = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(values, start, add, lambda s: s["out"])
+
+    def begins(steps: Column) -> Column:
+        """What comes before each of the steps, which are as long as the text before their match and itself."""
+        width = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        runs = let(width, lambda w: F.transform(indexes(w), lambda r: F.slice(steps, r * w + 1, w)))
+
+        def summed(rs: Column) -> Column:
+            totals = F.transform(rs, lambda r: F.aggregate(r, F.lit(0), lambda a, b: a + b))
+            return let(
+                running(totals, F.lit(0)),
+                lambda firsts: F.flatten(F.transform(rs, lambda r, i: running(r, F.get(firsts, i)))),
+            )
+
+        return let(runs, summed)
 
     def placed(matches: Column) -> Column:
-        checked = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else matches
+        tested = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else matches
+        gaps = F.transform(F.slice(F.split(text, rule.regex, -1), F.lit(1), F.size(matches)), F.length)
         parts = F.arrays_zip(
-            F.transform(F.split(text, rule.regex, -1), F.length).alias("gap"),
-            F.transform(matches, F.length).alias("size"),
-            F.transform(checked, F.length).alias("tested"),
+            gaps.alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(tested, F.length).alias("tested")
         )
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-        def add(so_far: Column, part: Column) -> Column:
-            begin = so_far["at"] + part["gap"]
-            end = begin + F.coalesce(part["size"], F.lit(0))
-            one = F.struct(
-                begin.alias("start"),
-                F.lit(order).alias("no"),
-                end.alias("end"),
-                F.lit(rule.kind).alias("kind"),
-            )
-            passed = F.coalesce(part["tested"] >= rule.least, F.lit(False))
-            out = F.when(passed, F.concat(so_far["out"], F.array(one))).otherwise(so_far["out"])
-            return F.struct(end.alias("at"), out.alias("out"))
 
-        return F.aggregate(parts, start, add, lambda s: s["out"])
+        def out(ps: Column) -> Column:
+            steps = F.transform(ps, lambda p: p["gap"] + p["size"])
+
+            def each(firsts: Column) -> Column:
+                one = lambda p, i: F.struct(
+                    (F.get(firsts, i) + p["gap"]).alias("start"),
+                    F.lit(order).alias("no"),
+                    (F.get(firsts, i) + p["gap"] + p["size"]).alias("end"),
+                    F.lit(rule.kind).alias("kind"),
+                    p["tested"].alias("tested"),
+                )
+                long = F.filter(F.transform(ps, one), lambda s: s["tested"] >= rule.least)
+                return F.transform(long, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "no", "end", "kind")]))
+
+            return let(let(steps, begins), each)
+
+        return let(parts, out)
 
     found = let(F.regexp_extract_all(text, regex, F.lit(0)), placed)
     return F.when(text.rlike(rule.regex), found).otherwise(none)
@@ -213,11 +240,12 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> Dat
     Rules with mandatory trigrams look at candidates only; the others scan all.
     """
     indexed = {kind for _, kind, _, _, _ in trigram_terms(rules)}
-    kinds = candidates(docs, rules).select(F.col("doc_id").alias("_id"), "kinds")
+    # written: a side still grouped by the key would keep rows with one key from being split
+    kinds = cut(candidates(docs, rules).select(F.col("doc_id").alias("_id"), "kinds"), "secret-candidates")
     rows = docs.select("doc_id", whole("text").alias("_text")).join(
         kinds.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left"
     )
-    none = F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")
+    none = F.array().cast(_FOUND)
     each = []
     for order, rule in enumerate(rules):
         found = spans(F.col("_text"), rule, order)

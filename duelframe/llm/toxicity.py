@@ -51,6 +51,58 @@ class Features:
         return at, values / (np.sqrt((values**2).sum()) or 1.0)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+@dataclass(frozen=True)
+class Problem:
+    """What is fitted: entries ``x`` of rows at columns, grades, and the rows' weights.
+
+    Parameters are the columns' weights, the first threshold, and the logarithms of
+    the steps after it.
+    """
+
+    row: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+    grades: np.ndarray
+    weigh: np.ndarray
+    columns: int
+    cuts: int
+
+    def edges(self, params: np.ndarray) -> np.ndarray:
+        t = params[self.columns :]
+        return np.concatenate([[-np.inf], t[:1], t[:1] + np.cumsum(np.exp(t[1:])), [np.inf]])
+
+    def _sides(self, params: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logistic function at the lower and the upper threshold of each row's grade."""
+        score = np.bincount(self.row, params[self.at] * self.x, len(self.grades))
+        edges = self.edges(params)
+        low, high = _sigmoid(edges[self.grades] - score), _sigmoid(edges[self.grades + 1] - score)
+        return np.where(self.grades == 0, 0.0, low), np.where(self.grades == self.cuts, 1.0, high)
+
+    def likelihood(self, params: np.ndarray) -> float:
+        """The mean logarithm of the grades' chances, less the weights' squares."""
+        low, high = self._sides(params)
+        fit = (self.weigh * np.log(np.maximum(high - low, 1e-12))).mean()
+        return float(fit - SHRINK / 2 * (params[: self.columns] ** 2).sum())
+
+    def gradient(self, params: np.ndarray) -> np.ndarray:
+        n = len(self.grades)
+        low, high = self._sides(params)
+        chance = np.maximum(high - low, 1e-12)
+        of_low, of_high = -self.weigh * low * (1 - low) / chance, self.weigh * high * (1 - high) / chance
+        to_score = -(of_low + of_high)
+        to_edges = np.bincount(self.grades, of_low, self.cuts + 2)
+        to_edges += np.bincount(self.grades + 1, of_high, self.cuts + 2)
+        inner = to_edges[1 : self.cuts + 1]
+        later = np.cumsum(inner[::-1])[::-1]
+        weights = np.bincount(self.at, to_score[self.row] * self.x, self.columns) / n - SHRINK * params[: self.columns]
+        steps = np.exp(params[self.columns + 1 :])
+        return np.concatenate([weights, [inner.sum() / n], later[1:] * steps / n])
+
+
 @dataclass(frozen=True)
 class Ordinal:
     """Cumulative-link regression over the grades 0 to ``len(thresholds)``."""
@@ -72,33 +124,11 @@ class Ordinal:
         used, at = np.unique(at, return_inverse=True)
         sizes = np.bincount(grades, minlength=cuts + 1)
         weigh = (len(grades) / np.maximum(sizes, 1) / np.count_nonzero(sizes))[grades]
-        # thresholds as the first and the logarithms of the steps after it
+        problem = Problem(row, at, x, grades, weigh, len(used), cuts)
         params = np.zeros(len(used) + cuts)
         first, second = np.zeros_like(params), np.zeros_like(params)
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         for step in range(1, STEPS + 1):
-            w, t = params[: len(used)], params[len(used) :]
-            steps = np.exp(t[1:])
-            edges = np.concatenate([[-np.inf], t[:1], t[:1] + np.cumsum(steps), [np.inf]])
-            score = np.bincount(row, w[at] * x, len(rows))
-            low, high = edges[grades] - score, edges[grades + 1] - score
-            at_low, at_high = sigmoid(low), sigmoid(high)
-            slope_low, slope_high = at_low * (1 - at_low), at_high * (1 - at_high)
-            slope_low[grades == 0] = 0
-            slope_high[grades == cuts] = 0
-            chance = np.maximum(at_high - at_low, 1e-12)
-            of_low, of_high = -weigh * slope_low / chance, weigh * slope_high / chance
-            to_score = -(of_low + of_high)
-            to_edges = np.bincount(grades, of_low, cuts + 2) + np.bincount(grades + 1, of_high, cuts + 2)
-            inner = to_edges[1 : cuts + 1]
-            later = np.cumsum(inner[::-1])[::-1]
-            gradient = np.concatenate(
-                [
-                    np.bincount(at, to_score[row] * x, len(used)) / len(rows) - SHRINK * w,
-                    [inner.sum() / len(rows)],
-                    later[1:] * steps / len(rows),
-                ]
-            )
+            gradient = problem.gradient(params)
             first = 0.9 * first + 0.1 * gradient
             second = 0.999 * second + 0.001 * gradient**2
             params = params + RATE * (first / (1 - 0.9**step)) / (
@@ -106,8 +136,7 @@ class Ordinal:
             )
         weights = np.zeros(BUCKETS, np.float32)
         weights[used] = params[: len(used)]
-        t = params[len(used) :]
-        return cls(weights, np.concatenate([t[:1], t[:1] + np.cumsum(np.exp(t[1:]))]))
+        return cls(weights, problem.edges(params)[1:-1])
 
     def chances(self, score: float) -> np.ndarray:
         """The chance of each grade from 1 on, or more."""
@@ -134,9 +163,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Ordinal:
     hashed = graded.distinct().withColumn("h", F.xxhash64("doc_id", F.lit("sample")))
     sample = hashed.orderBy("h", "grade").limit(SAMPLE)
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    texts = texts.orderBy("h", "grade", "text").limit(SAMPLE)
     features = F.arrow_udf(run, "at array<long>, x array<double>")("text")
-    got = texts.select("h", "grade", features.alias("f")).orderBy("h", "grade").toArrow()
+    texts = texts.select("h", "grade", F.xxhash64("text").alias("t"), features.alias("f"))
+    got = texts.orderBy("h", "grade", "t").limit(SAMPLE).toArrow()
     rows = [
         (np.array(f["at"], np.int64), np.array(f["x"], np.float64)) for f in got["f"].to_pylist()
     ]
