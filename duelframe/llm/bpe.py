@@ -18,6 +18,7 @@ from functools import cached_property
 from hashlib import sha256
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -293,7 +294,11 @@ def encode(docs: DataFrame, vocab: Vocabulary, text: str = "text", ids: str = "t
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = shared.value.encoder
         for batch in batches:
-            yield pa.array([encoder.ids(t or "") for t in batch.to_pylist()], pa.list_(pa.int32()))
+            found = [np.array(encoder.ids(t.as_py() or ""), np.int32) for t in batch]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *found]))
+            found = None
+            pa.default_memory_pool().release_unused()
 
     return docs.withColumn(ids, F.arrow_udf(run, "array<int>")(column(text)))
 

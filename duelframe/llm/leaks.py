@@ -132,7 +132,7 @@ class Index:
 
     def hashed(self, words: list[bytes]) -> np.ndarray:
         known = self.words
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxh64_intdigest(w)

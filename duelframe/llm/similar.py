@@ -45,7 +45,7 @@ _WORDS: dict[bytes, int] = {}
 def shingle_set(text: str | None) -> np.ndarray:
     """The text's distinct shingles, sorted; 63 bits each."""
     words = (text or "").encode().lower().split()
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 100_000:
         _WORDS.clear()
     for w in set(words).difference(_WORDS):
         _WORDS[w] = xxh64_intdigest(w)
