@@ -18,37 +18,65 @@ def _once(df: DataFrame, *keys: str) -> DataFrame:
     return rows.where(F.when(F.col("_times") == 1, True).otherwise(repeated)).select(*df.columns)
 
 
+def _agree(ours: DataFrame, theirs: DataFrame, names: list[str], run: str) -> Column:
+    """True if every run has as many keys as the reference, and the same ones; else an error."""
+    keys = F.struct(
+        F.count("*"), F.bit_xor(F.xxhash64(*[F.col(name).cast("string") for name in names]))
+    )
+    expected = theirs.agg(keys).scalar()
+    said = F.concat(
+        F.lit("run "), F.col(run).cast("string"), F.lit(" and the reference do not score the same rows")
+    )
+    same = F.when(F.col("keys") == expected, True).otherwise(F.raise_error(said))
+    by_run = ours.groupBy(run).agg(keys.alias("keys"))
+    return by_run.agg(F.coalesce(F.bool_and(same), F.lit(True))).scalar()
+
+
 def pair_runs(
     policy: DataFrame,
     reference: DataFrame,
     key: Key = "row_id",
     *also: str,
+    run: str | None = None,
     unmatched: str = "error",
 ) -> DataFrame:
     """Per row the policy's response and score, the reference's, and the uplift.
 
-    A row without counterpart is an error, or left out with ``unmatched='drop'``.
+    With ``run``, the column that names the policy's runs, each run is paired with
+    the whole reference. A key that occurs twice, in a run or in the reference, is an
+    error. So is a row without counterpart, or it is left out with ``unmatched='drop'``.
     """
     if unmatched not in ("error", "drop"):
         raise ValueError(f"unmatched must be error or drop, not {unmatched!r}")
     names = key_names(key)
-    ours = policy.select(
+    runs = [] if run is None else [run]
+    ours = _once(
+        policy.select(
+            *names,
+            *dict.fromkeys([*runs, *also]),
+            F.col("response").alias("response_best"),
+            F.col("score").alias("score_best"),
+        ),
         *names,
-        *also,
-        F.col("response").alias("response_best"),
-        F.col("score").alias("score_best"),
+        *runs,
     )
     theirs = reference.select(
         *names, F.col("response").alias("response_ref"), F.col("score").alias("score_ref")
     )
+    theirs = _once(theirs, *names)
+    alone = F.raise_error(F.lit("a row without counterpart in the other run"))
     if unmatched == "drop":
         paired = ours.join(theirs, names)
-    else:
+    elif run is None:
         ours, theirs = ours.withColumn("_ours", F.lit(1)), theirs.withColumn("_theirs", F.lit(1))
-        alone = F.raise_error(F.lit("a row without counterpart in the other run"))
         both = F.col("_ours").isNotNull() & F.col("_theirs").isNotNull()
         paired = ours.join(theirs, names, "full").where(F.when(both, True).otherwise(alone))
         paired = paired.drop("_ours", "_theirs")
+    else:
+        whole = _agree(policy.select(run, *names), reference.select(*names), names, run)
+        found = F.when(F.col("_theirs"), True).otherwise(alone)
+        paired = ours.join(theirs.withColumn("_theirs", F.lit(True)), names, "left").where(found & whole)
+        paired = paired.drop("_theirs")
     return paired.withColumn("uplift", F.col("score_best") - F.col("score_ref"))
 
 
@@ -73,36 +101,11 @@ def align_scores(
     if unmatched == "drop":
         rows = _once(ours, *names, run).join(_once(theirs, *names), names)
         return rows.select(run, *names, "p", "q")
-    # as many keys, and the same ones
-    keys = F.struct(
-        F.count("*"), F.bit_xor(F.xxhash64(*[F.col(name).cast("string") for name in names]))
-    )
-    expected = theirs.agg(keys).scalar()
-    keys_agree = (
-        ours.groupBy(run)
-        .agg(keys.alias("keys"))
-        .agg(
-            F.coalesce(
-                F.bool_and(
-                    F.when(F.col("keys") == expected, True).otherwise(
-                        F.raise_error(
-                            F.concat(
-                                F.lit("run "),
-                                F.col(run).cast("string"),
-                                F.lit(" and the reference do not score the same rows"),
-                            )
-                        )
-                    )
-                ),
-                F.lit(True),
-            )
-        )
-        .scalar()
-    )
+    keys_agree = _agree(ours, theirs, names, run)
     missing = F.raise_error(F.lit("a score without counterpart in the reference"))
     found = F.when(F.col("_found"), True).otherwise(missing)
     return (
-        ours.join(theirs.withColumn("_found", F.lit(True)), names, "left")
+        ours.join(_once(theirs, *names).withColumn("_found", F.lit(True)), names, "left")
         .where(found & keys_agree)
         .select(run, *names, "p", "q")
     )

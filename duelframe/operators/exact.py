@@ -92,8 +92,14 @@ def cutoffs(df: DataFrame, sizes: dict[float, object], key: Key, seed: int) -> D
     )
 
 
-def sample_exact(df: DataFrame, n: int, key: Key, seed: int = SAMPLING_SEED) -> DataFrame:
-    """Exactly ``n`` rows without replacement; more than there are is an error."""
+def sample_exact(df: DataFrame, n: int | float, key: Key, seed: int = SAMPLING_SEED) -> DataFrame:
+    """Exactly ``n`` rows without replacement; more than there are is an error.
+
+    A fraction is the share of the rows that is taken, rounded down.
+    """
+    if isinstance(n, float):
+        found = cutoffs(df, {0.0: share_of(n)}, key, seed)
+        return df.where(place(key, seed) <= found.agg(F.max("cutoff")).scalar())
     if n < 0:
         raise ValueError("n must not be negative")
     if n == 0:

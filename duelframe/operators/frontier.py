@@ -25,3 +25,18 @@ def frontier(summary: DataFrame, run: str = "run") -> DataFrame:
         .where(F.col("_best").isNull() | (F.col("mean_reward") > F.col("_best")))
         .drop("_best")
     )
+
+
+def sweep_report(runs: DataFrame, run: str = "run", score: str = "score") -> DataFrame:
+    """Mean score per method and noise level, per method, and of all: ``(method, level, subtotal, mean, n)``.
+
+    ``run`` is a method, an underscore and the level's digits. ``subtotal`` is 0 for
+    a method at a level, 1 for all levels of a method and 3 for all, so that a level
+    that is missing from a name is told apart from a subtotal.
+    """
+    parts = lambda nth: F.nullif(F.regexp_extract(run, r"^(.*?)(?:_(\d+))?$", nth), F.lit(""))
+    level = F.concat(F.substring(parts(2), 1, 1), F.lit("."), F.substring(parts(2), 2, 20)).cast("double")
+    named = runs.select(parts(1).alias("method"), level.alias("level"), F.col(score).alias("_score"))
+    return named.rollup("method", "level").agg(
+        F.grouping_id().cast("int").alias("subtotal"), F.avg("_score").alias("mean"), F.count("_score").alias("n")
+    )

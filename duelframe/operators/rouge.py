@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from math import exp, floor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -218,3 +220,59 @@ def rouge(
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole
+
+
+REPLICATES = 200
+_DRAWS = 1 << 32
+
+
+def poisson_steps(most: int = 10) -> list[int]:
+    """A uniform number below 2 to the 32 is a Poisson number with mean one: how many steps it reaches."""
+    chance, total, steps = exp(-1), 0.0, []
+    for k in range(most):
+        total += chance
+        steps.append(floor(total * _DRAWS))
+        chance /= k + 1
+    return steps
+
+
+def bootstrap(
+    scores: DataFrame, replicates: int = REPLICATES, value: str = "f", key: Key = "row_id", seed: int = 42
+) -> DataFrame:
+    """``(low, middle, high, n)`` of resampled means: the median and a 95 % interval.
+
+    A row counts in a replicate as often as a Poisson number says that follows
+    from its key and the replicate, so the result doesn't depend on how the rows are
+    spread. Each task adds up its rows for all replicates, and only these sums move.
+    """
+    names = key_names(key)
+    word = F.md5(F.concat_ws(":", F.lit(str(seed)), "_replicate", *[F.col(c).cast("string") for c in names]))
+    number = F.conv(F.substring(word, 1, 8), 16, 10).cast("bigint")
+    times = sum(((F.col("_number") >= step).cast("long") for step in poisson_steps()), F.lit(0).cast("long"))
+    every = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_replicate")
+    drawn = scores.select(*names, F.col(value).alias("_value"), every).withColumn("_number", number)
+    sums = drawn.withColumn("_times", times).groupBy("_replicate").agg(
+        F.try_divide(F.sum(F.col("_times") * F.col("_value")), F.sum("_times")).alias("mean"), F.count("*").alias("n")
+    )
+    # as many rows as there are replicates
+    at = lambda share: F.percentile("mean", F.lit(share))
+    return sums.agg(at(0.025).alias("low"), at(0.5).alias("middle"), at(0.975).alias("high"), F.max("n").alias("n"))
+
+
+def rouge_bootstrap(
+    df: DataFrame,
+    kinds: tuple[str, ...] = ("rouge1", "rouge2", "rougeL", "rougeLsum"),
+    replicates: int = REPLICATES,
+    prediction: str = "prediction",
+    reference: str = "reference",
+    key: Key = "row_id",
+    seed: int = 42,
+) -> DataFrame:
+    """Corpus ROUGE resampled: ``(kind, low, middle, high, n)`` of the mean F of each kind."""
+    parts = [
+        bootstrap(ROUGE_KINDS[kind](df, prediction, reference, key), replicates, "f", key, seed).select(
+            F.lit(kind).alias("kind"), "low", "middle", "high", "n"
+        )
+        for kind in kinds
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -8,6 +8,7 @@ from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +23,11 @@ from duelframe.functions.tokens import (
     WORD_OR_EOS,
     words,
 )
-from duelframe.keys import Key, key_names
+from duelframe.session import kept
 
-# So many of the most frequent words go to the executors, those of usual length: a
-# few megabytes at most. All other words are joined.
-SHIPPED_WORDS = 50_000
+# So many of the most frequent words go to the executors, those of usual length: some
+# megabytes. Words beyond are joined.
+SHIPPED_WORDS = 500_000
 SHIPPED_LENGTH = 64
 
 
@@ -45,8 +46,8 @@ class Vocabulary:
         self.table.write.mode("overwrite").parquet(path)
 
     @cached_property
-    def shipped(self):
-        """Broadcast ``(tokens, ids)`` arrays of the reserved tokens and the frequent words."""
+    def shipped(self) -> Broadcast:
+        """``(tokens, ids)`` arrays of the reserved tokens and the frequent words, on the executors."""
         last = FIRST_WORD_ID + self.shipped_words
         usual = (F.col("token_id") < last) & (F.octet_length("token") <= SHIPPED_LENGTH)
         rows = self.table.where(usual).select("token", "token_id").toArrow()
@@ -60,29 +61,37 @@ class Vocabulary:
         )
         return self.table.sparkSession.sparkContext.broadcast((tokens, ids))
 
+    @cached_property
+    def complete(self) -> bool:
+        """Whether all words are shipped, so that nothing is joined."""
+        tokens, _ = self.shipped.value
+        return self.table.count() == len(tokens) - FIRST_WORD_ID
+
 
 def build_vocab(df: DataFrame, *texts: str, size: int | None = None) -> Vocabulary:
     """All words of the text columns, the most frequent first; ties in word order.
 
-    ``size`` keeps that many only. Words are numbered in buckets of equal count
-    and equal first letters: the buckets' sizes are added up, and each bucket
-    ranks its own words.
+    ``size`` keeps that many only. Words are counted once, spread by ranges of
+    their order and written. Each knows its place within its range, and what
+    precedes a range is a sum over as many numbers as there are ranges.
     """
-    word = F.explode(F.concat(*[words(F.col(t), WORD_OR_EOS) for t in texts])).alias("token")
-    counted = (
-        df.select(word)
-        .where(F.col("token") != EOS_TEXT)
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-        .withColumn("_start", F.substring("token", 1, 3))
+    each = [F.coalesce(words(F.col(t), WORD_OR_EOS), F.array().cast("array<string>")) for t in texts]
+    word = F.explode(F.concat(*each)).alias("token")
+    counted = df.select(word).where(F.col("token") != EOS_TEXT).groupBy("token").agg(F.count("*").alias("n"))
+    order = [F.desc("n"), F.col("token")]
+    place = F.monotonically_increasing_id()  # the range's number, and 33 bits of the place in it
+    ranged = kept(
+        counted.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("token", "n", F.shiftright(place, 33).alias("_range"), place.bitwiseAND((1 << 33) - 1).alias("_nth")),
+        "vocabulary",
     )
-    before = Window.orderBy(F.desc("n"), "_start").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = counted.groupBy("n", "_start").agg(F.count("*").alias("_size"))
-    places = sizes.select("n", "_start", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_at"))
-    inside = F.row_number().over(Window.partitionBy("n", "_start").orderBy("token"))
-    numbered = counted.withColumn("_in", inside).join(places, ["n", "_start"])
-    number = (F.col("_at") + F.col("_in") + (FIRST_WORD_ID - 1)).cast("int")
-    table = numbered.select("token", number.alias("token_id"), "n")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_at"))
+    number = (F.col("_at") + F.col("_nth") + FIRST_WORD_ID).cast("int")
+    # as many rows as there are ranges
+    table = ranged.join(F.broadcast(starts), "_range").select("token", number.alias("token_id"), "n")
     return Vocabulary(table if size is None else table.where(F.col("token_id") < FIRST_WORD_ID + size))
 
 
@@ -95,14 +104,11 @@ def _lists(values: pa.Array, like: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, values, mask=missing)
 
 
-def encode(
-    df: DataFrame, vocab: Vocabulary, columns: dict[str, str], key: Key = "row_id"
-) -> DataFrame:
+def encode(df: DataFrame, vocab: Vocabulary, columns: dict[str, str]) -> DataFrame:
     """Add id arrays: ``columns`` maps a text column to the array's name.
 
-    Frequent words are looked up inside Arrow batches, where the rows are. Only
-    the places of other words are joined, so neither texts nor frequent words
-    are shuffled for them.
+    Frequent words are looked up inside Arrow batches, where the rows are, for all
+    columns in one pass. See ``_filled`` for other words.
     """
     shared = vocab.shipped
 
@@ -113,18 +119,14 @@ def encode(
 
     to_ids = F.arrow_udf(look_up, "array<int>")
     table = vocab.table.select(F.col("token").alias("_value"), F.col("token_id").alias("_found"))
-    for text, ids in columns.items():
-        values = words(F.col(text), WORD_OR_EOS)
-        number = F.coalesce("_found", F.lit(UNK_ID))
-        df = _filled(df, values, to_ids, table, number, ids, key)
-    return df
+    values = {ids: words(F.col(text), WORD_OR_EOS) for text, ids in columns.items()}
+    return _filled(df, values, to_ids, None if vocab.complete else table, F.lit(UNK_ID))
 
 
 def decode(
     df: DataFrame,
     vocab: Vocabulary,
     columns: dict[str, str],
-    key: Key = "row_id",
     skip_special_tokens: bool = False,
 ) -> DataFrame:
     """Add texts: ``columns`` maps an id array to the text's name.
@@ -137,46 +139,66 @@ def decode(
         known, numbers = shared.value
         return _lists(known.take(pc.index_in(batch.flatten(), value_set=numbers)), batch)
 
+    def kept_ids(ids: str) -> Column:
+        return F.filter(F.col(ids), lambda i: i >= FIRST_WORD_ID) if skip_special_tokens else F.col(ids)
+
     to_words = F.arrow_udf(spell, "array<string>")
     table = vocab.table.select(F.col("token_id").alias("_value"), F.col("token").alias("_found"))
-    word = F.coalesce(
-        "_found", F.raise_error(F.lit("token id outside the vocabulary")).cast("string")
-    )
-    for ids, text in columns.items():
-        kept = F.col(ids)
-        if skip_special_tokens:
-            kept = F.filter(kept, lambda i: i >= FIRST_WORD_ID)
-        df = _filled(df, kept, to_words, table, word, text, key)
-        df = df.withColumn(text, F.array_join(text, " "))
-    return df
+    unknown = F.raise_error(F.lit("token id outside the vocabulary")).cast("string")
+    values = {text: kept_ids(ids) for ids, text in columns.items()}
+    spelled = _filled(df, values, to_words, None if vocab.complete else table, unknown)
+    return spelled.withColumns({text: F.array_join(text, " ") for text in values})
 
 
 def _filled(
     df: DataFrame,
-    values: Column,
+    values: dict[str, Column],
     look_up: Callable[[Column], Column],
-    table: DataFrame,
-    found: Column,
-    out: str,
-    key: Key,
+    table: DataFrame | None,
+    unknown: Column,
 ) -> DataFrame:
-    """Add ``out``: per value what the look-up has, or else what the table has for it."""
-    names = key_names(key)
-    known = look_up(values)
-    parts = F.arrays_zip(values.alias("value"), known.alias("known"))
-    open_places = F.filter(
-        F.transform(parts, lambda p, i: F.struct(i.alias("i"), p["value"].alias("v"), p["known"].alias("k"))),
-        lambda p: p["k"].isNull(),
+    """Add arrays: for each value what the look-up has, or else what ``table`` has, or ``unknown``.
+
+    Without a table nothing is joined. Otherwise rows are numbered and written with
+    what the look-up has, and the values that it doesn't have are joined to the
+    table by value and back by the row's number, whatever keys the rows have. Rows
+    without such values stay out of the joins.
+    """
+    known = {name: look_up(value) for name, value in values.items()}
+    if table is None:
+        return df.withColumns({n: F.transform(k, lambda x: F.coalesce(x, unknown)) for n, k in known.items()})
+
+    def missing(nth: int) -> Column:
+        """Column, place and value of what the look-up doesn't have."""
+        parts = F.transform(
+            F.arrays_zip(F.col(f"_value{nth}").alias("v"), F.col(f"_known{nth}").alias("k")),
+            lambda p, i: F.struct(F.lit(nth).alias("c"), i.alias("i"), p["v"].alias("v"), p["k"].isNull().alias("open")),
+        )
+        return F.coalesce(F.filter(parts, lambda p: p["open"]), F.array())
+
+    looked = df.select(
+        F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("_in"),
+        F.monotonically_increasing_id().alias("_row"),
+        *[value.alias(f"_value{nth}") for nth, value in enumerate(values.values())],
+        *[found.alias(f"_known{nth}") for nth, found in enumerate(known.values())],
     )
-    rest = df.select(*names, F.explode(open_places).alias("p"))
-    rest = rest.select(*names, F.col("p.i").alias("_place"), F.col("p.v").alias("_value"))
-    joined = rest.join(table, "_value", "left").groupBy(*names)
-    late = joined.agg(F.collect_list(F.struct(F.col("_place").alias("i"), found.alias("x"))).alias("_late"))
-    mine = df.withColumn(out, known)
-    patched = mine.join(late, names, "left")
-    again = F.transform(F.col(out), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    whole = F.transform(
-        F.array_sort(F.concat(F.filter(again, lambda p: p["x"].isNotNull()), F.col("_late"))),
-        lambda p: p["x"],
+    each = range(len(values))
+    arrays = [f"_known{nth}" for nth in each]
+    marked = kept(looked.select("_in", "_row", *arrays, F.concat(*map(missing, each)).alias("_open")), "looked-up")
+    rest = marked.select("_row", F.explode("_open").alias("p")).select(
+        "_row", "p.c", "p.i", F.col("p.v").alias("_value")
     )
-    return patched.withColumn(out, F.when(F.col("_late").isNull(), F.col(out)).otherwise(whole)).drop("_late")
+    found = rest.join(table, "_value", "left").select("_row", F.struct("c", "i", F.coalesce("_found", unknown).alias("x")).alias("p"))
+    late = found.groupBy("_row").agg(F.collect_list("p").alias("_late"))
+    done = marked.where(F.size("_open") == 0).withColumn("_late", F.lit(None))
+    whole = done.unionByName(marked.where(F.size("_open") > 0).join(late, "_row"))
+
+    def patched(nth: int) -> Column:
+        mine = F.transform(F.col(f"_known{nth}"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        mine = F.filter(mine, lambda p: p["x"].isNotNull())
+        other = F.transform(F.filter("_late", lambda p: p["c"] == nth), lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x")))
+        all_ = F.transform(F.array_sort(F.concat(mine, other)), lambda p: p["x"])
+        return F.when(F.col("_late").isNull(), F.col(f"_known{nth}")).otherwise(all_)
+
+    others = [F.col("_in")[c].alias(c) for c in df.columns if c not in values]
+    return whole.select(*others, *[patched(nth).alias(name) for nth, name in enumerate(values)])

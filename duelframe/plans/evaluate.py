@@ -20,7 +20,7 @@ from duelframe.operators.scoring import Scorer, score_responses
 
 def candidate_requests(
     prompts: DataFrame,
-    n_samples: int = SAMPLED_PROMPTS,
+    n_samples: int | float = SAMPLED_PROMPTS,
     n_best_of: int = CANDIDATES,
     key: Key = "row_id",
     seed: int = SAMPLING_SEED,
@@ -28,6 +28,7 @@ def candidate_requests(
 ) -> DataFrame:
     """The prompts to answer: an exact sample, each ``n_best_of`` times.
 
+    ``n_samples`` is a number of prompts, or as a fraction their share.
     ``response_length`` is drawn once per prompt and shared by its copies.
     """
     length = hashed_int(key, seed, *response_lengths)
@@ -67,8 +68,11 @@ def evaluate_candidates(
 
 
 def evaluation_report(best: DataFrame, reference: DataFrame, key: Key = "row_id") -> DataFrame:
-    """Per run: mean reference and best-of-n reward, their difference, rows compared."""
-    pairs = pair_runs(best, reference, key, "run")
+    """Per run: mean reference and best-of-n reward, their difference, rows compared.
+
+    Each run is paired with the whole reference; with ``run`` in the key, with its own rows there.
+    """
+    pairs = pair_runs(best, reference, key, run=None if "run" in key_names(key) else "run")
     return pairs.groupBy("run").agg(
         F.avg("score_ref").alias("mean_ref"),
         F.avg("score_best").alias("mean_best"),

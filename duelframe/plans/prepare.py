@@ -64,10 +64,10 @@ class Settings:
         return self.vocab
 
     def encode(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
-        return encode(df, self.tokeniser(), columns, self.key)
+        return encode(df, self.tokeniser(), columns)
 
     def decode(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
-        return decode(df, self.tokeniser(), columns, self.key)
+        return decode(df, self.tokeniser(), columns)
 
 
 Shape = Callable[[DataFrame, Settings], DataFrame]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -28,3 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier call has returned."""
     return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to and read from the shared folder: evaluated once, whoever reads them."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,12 +50,27 @@ def append_game_log(
     path: str,
     checkpoint: str | None = None,
     columns: tuple[str, ...] = tuple(schemas.GAME_LOG.fieldNames()),
+    batch: str | None = None,
 ) -> StreamingQuery | None:
     """Add ``columns`` of a step's rows to the log, partitioned by ``run``, which is among them.
 
-    A streaming frame needs a checkpoint folder; its query is returned.
+    ``batch`` names what is added, such as a step: a batch that is written again, after
+    a failure or by a retry, replaces what it wrote before and is in the log once.
+    A log has batches of names or none. A streaming frame needs a checkpoint folder, which
+    tells its batches apart; its query is returned.
     """
     rows = df.select(*columns)
+    if not df.isStreaming and batch is not None:
+        if not batch:
+            raise ValueError("the name of a batch is empty")
+        (
+            rows.withColumn("batch", F.lit(batch))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch", "run")
+            .parquet(path)
+        )
+        return None
     if not df.isStreaming:
         rows.write.mode("append").partitionBy("run").parquet(path)
         return None

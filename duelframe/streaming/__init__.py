@@ -1,5 +1,5 @@
 """Structured Streaming jobs."""
 
-from duelframe.streaming.rewards import append_closed, keep_latest, stream_reward_stats
+from duelframe.streaming.rewards import append_closed, current, keep_latest, stream_reward_stats, upsert
 
-__all__ = ["append_closed", "keep_latest", "stream_reward_stats"]
+__all__ = ["append_closed", "current", "keep_latest", "stream_reward_stats", "upsert"]

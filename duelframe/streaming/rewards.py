@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import posixpath
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -64,3 +66,38 @@ def append_closed(stats: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         .trigger(availableNow=True)
         .start(path)
     )
+
+
+def upsert(stats: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what is there and write the windows that it has changed as a version below ``path``.
+
+    A batch's changes are one folder, which a batch that runs again replaces. Late
+    rows within the watermark correct a window by a later version of it; a version
+    that has been written is never changed. ``current`` reads the result.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(posixpath.join(path, f"version={number}"))
+
+    return (
+        stats.writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+
+
+def current(spark: SparkSession, path: str, version: int | None = None, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """The newest row of every window that ``upsert`` has written, or that of a version.
+
+    Versions are combined before the shuffle, so a window that changed often is one
+    row for each task.
+    """
+    rows = spark.read.parquet(path)
+    if version is not None:
+        rows = rows.where(F.col("version") <= version)
+    keys = ["window_start", *by]
+    values = [c for c in rows.columns if c not in (*keys, "version")]
+    newest = F.max_by(F.struct(*values), "version").alias("newest")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*")

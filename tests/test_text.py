@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from conftest import task_failure
@@ -269,3 +270,46 @@ def test_rouge_matches_the_definitions(spark):
         for row_id, prediction, reference in rows:
             assert got[row_id] == pytest.approx(brute(kind, prediction, reference)), kind
     assert {r.row_id: r.f for r in kinds[2].collect()}[61] == 0.0
+
+
+@pytest.mark.parametrize("shipped", [0, 2, 1000])
+def test_tokens_of_rows_with_repeated_and_missing_keys(spark, shipped):
+    """Rows are told apart by the plan, not by a key of theirs; columns of any name stay."""
+    rows = [(1, "rare one two", "b b"), (1, "other words here", None), (None, "null key words", "rare"), (None, "", "one"), (2, None, "two")]
+    df = spark.createDataFrame(rows, "row_id int, a string, `_row` string").repartition(3)
+    vocab = replace(build_vocab(df, "a", "_row"), shipped_words=shipped)
+    assert vocab.complete == (shipped == 1000)
+    numbers = {r.token: r.token_id for r in vocab.table.collect()}
+    assert sorted(numbers.values()) == list(range(3, 3 + len(numbers)))
+    ids = lambda t: None if t is None else [numbers[w] for w in t.split()]
+    got = encode(df, vocab, {"a": "ids_a", "_row": "ids_b"})
+    assert got.columns == ["row_id", "a", "_row", "ids_a", "ids_b"]
+    key = lambda r: tuple(map(repr, r))
+    want = sorted(((k, a, b, ids(a), ids(b)) for k, a, b in rows), key=key)
+    assert sorted((tuple(r) for r in got.collect()), key=key) == want
+    back = decode(got, vocab, {"ids_a": "a2", "ids_b": "b2"})
+    assert all((r.a2, r.b2) == (r.a, r["_row"]) for r in back.collect())
+
+
+def test_shipped_words_are_looked_up_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "a b", "c")], "row_id int, a string, b string")
+    vocab = build_vocab(df, "a", "b")
+    plan = encode(df, vocab, {"a": "x", "b": "y"})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_ranges_of_a_vocabulary_follow_one_another(spark):
+    """Many ranges, many words as frequent as each other."""
+    words = [f"w{k % 700}" for k in range(900)] + [f"v{k}" for k in range(500)] * 2
+    df = spark.createDataFrame([(" ".join(words[k::7]),) for k in range(7)], "t string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        table = build_vocab(df, "t").table.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    n = Counter(words)
+    want = {w: 3 + k for k, w in enumerate(sorted(n, key=lambda w: (-n[w], w)))}
+    assert {r.token: r.token_id for r in table} == want and all(r.n == n[r.token] for r in table)
+    assert build_vocab(df.limit(0), "t").table.count() == 0

@@ -41,6 +41,7 @@ from duelframe.operators import (
     flip_labels,
     kl_divergence,
     mean_reward,
+    merge_sketches,
     noise_sweep,
     pair_length_filter,
     pair_runs,
@@ -48,19 +49,26 @@ from duelframe.operators import (
     prompt_length_filter,
     repeat_queries,
     reward_dist,
+    reward_sketches,
     reward_stats,
     reward_values,
     rloo_advantage,
     rouge,
+    rouge_bootstrap,
     rouge_l,
     rouge_l_sum,
     rouge_n,
     sample_exact,
     score_responses,
+    sketch_quantiles,
+    sweep_report,
     token_argmax,
     validation_head,
+    with_positions,
 )
 from duelframe.operators.batches import batch_map
+from duelframe.operators.rewards import RANK_ERROR
+from duelframe.operators.rouge import poisson_steps
 from duelframe.operators.scoring import weights
 from duelframe.plans import (
     evaluate_candidates,
@@ -73,8 +81,8 @@ from duelframe.plans import (
 from duelframe.plans.evaluate import candidate_requests
 from duelframe.plans.prepare import TASKS, Settings, Task
 from duelframe.schemas import BEST_OF
-from duelframe.session import fresh_path
-from duelframe.streaming import append_closed, keep_latest, stream_reward_stats
+from duelframe.session import fresh_path, kept
+from duelframe.streaming import append_closed, current, keep_latest, stream_reward_stats, upsert
 from workloads import inputs as t
 from workloads.inputs import (
     CANDIDATES_SQL,
@@ -216,25 +224,28 @@ def _repeat_queries(spark, sf_dir):
     "candidate_requests",
     f"""SELECT conv_id, turn, text AS query, CAST(cand AS INTEGER) AS cand,
            {hashed_sql("conv_id || ':' || turn", 42, 10, 25)} AS response_length
-    FROM (SELECT * FROM conversations WHERE role = 'user'
-          ORDER BY md5('42:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)),
-                   conv_id, turn LIMIT 10),
-         (SELECT unnest(range(4)) AS cand)""",
+    FROM (SELECT *, row_number() OVER (
+                   ORDER BY md5('42:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)),
+                            conv_id, turn) AS nth, count(*) OVER () AS asked
+          FROM conversations WHERE role = 'user'),
+         (SELECT unnest(range(4)) AS cand)
+    WHERE nth <= floor(CAST({t.SHARE} AS DOUBLE) * asked)""",
 )
 def _candidate_requests(spark, sf_dir):
     asked = t.table(spark, sf_dir, "conversations").where("role = 'user'")
     return candidate_requests(
-        asked.select("conv_id", "turn", F.col("text").alias("query")), 10, 4, ["conv_id", "turn"]
+        asked.select("conv_id", "turn", F.col("text").alias("query")), t.SHARE, 4, ["conv_id", "turn"]
     )
 
 
 # --- training tables -----------------------------------------------------------------
 
 
-def _prepared(spark, sf_dir, task, level=0.2, vocab=False, **more):
+def _prepared(spark, sf_dir, task, level=0.2, vocab=False, head=t.HEAD, **more):
     settings = Settings(
         noise=Noise(level),
-        validation_rows=t.HEAD,
+        validation_rows=head,
+        strict_validation=head == t.STRICT_HEAD,
         vocab=t.vocabulary(spark, sf_dir) if vocab else None,
         **more,
     )
@@ -280,6 +291,18 @@ def _prepare_dpo(spark, sf_dir):
     return _prepared(spark, sf_dir, "dpo")
 
 
+@query(
+    "prepare_dpo_strict_head",
+    f"""WITH {noised_sql(0.2, t.STRICT_HEAD)}
+    SELECT row_id, split, post AS prompt,
+           {_rendered_sql(("user", "post"), ("assistant", "chosen"))} AS chosen,
+           {_rendered_sql(("user", "post"), ("assistant", "rejected"))} AS rejected
+    FROM picked""",
+)
+def _prepare_dpo_strict_head(spark, sf_dir):
+    return _prepared(spark, sf_dir, "dpo", head=t.STRICT_HEAD)
+
+
 @query(
     "prepare_kto",
     f"""WITH {noised_sql(0.2)}
@@ -398,7 +421,7 @@ def _prepare_sft(spark, sf_dir):
     rows = prepare(
         t.prompt_label(spark, sf_dir),
         "sft",
-        Settings(vocab=t.vocabulary(spark, sf_dir), validation_rows=t.HEAD),
+        Settings(vocab=t.vocabulary(spark, sf_dir), validation_rows=t.HEAD, strict_validation=False),
     )
     return rows.select(
         "row_id",
@@ -460,7 +483,7 @@ def _document_ids(spark, sf_dir, **more):
         t.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
     )
     vocab = replace(t.vocabulary(spark, sf_dir), **more)
-    return vocab, encode(documents, vocab, {"text": "ids"}, "doc_id")
+    return vocab, encode(documents, vocab, {"text": "ids"})
 
 
 _ENCODED = f"""WITH {VOCAB_SQL}, {_DOCUMENT_IDS}
@@ -486,13 +509,13 @@ _DECODED = f"""WITH {VOCAB_SQL}, {_DOCUMENT_IDS}, {decode_sql("d", "e", "doc_id"
 @query("decode_text", _DECODED)
 def _decode_text(spark, sf_dir):
     vocab, rows = _document_ids(spark, sf_dir)
-    return decode(rows, vocab, {"ids": "words"}, "doc_id").select("doc_id", "words")
+    return decode(rows, vocab, {"ids": "words"}).select("doc_id", "words")
 
 
 @query("decode_text_joined", _DECODED)
 def _decode_text_joined(spark, sf_dir):
     vocab, rows = _document_ids(spark, sf_dir, shipped_words=0)
-    return decode(rows, vocab, {"ids": "words"}, "doc_id").select("doc_id", "words")
+    return decode(rows, vocab, {"ids": "words"}).select("doc_id", "words")
 
 
 @query(
@@ -503,7 +526,7 @@ def _decode_text_joined(spark, sf_dir):
 )
 def _token_round_trip(spark, sf_dir):
     vocab, rows = _document_ids(spark, sf_dir, shipped_words=1000)
-    back = decode(rows, vocab, {"ids": "words"}, "doc_id")
+    back = decode(rows, vocab, {"ids": "words"})
     normal = F.array_join(words(F.col("text"), WORD_OR_EOS), " ")
     return back.select("doc_id", "words", (F.col("words") == normal).alias("same"))
 
@@ -693,10 +716,7 @@ def _ref_vs_best(spark, sf_dir):
 )
 def _evaluation_report(spark, sf_dir):
     best, first = _best_and_first(spark, sf_dir)
-    by_both = F.concat_ws(":", "run", "row_id")
-    report = evaluation_report(
-        best.withColumn("row_id", by_both), first.withColumn("row_id", by_both)
-    )
+    report = evaluation_report(best, first, ["run", "row_id"])
     means = ("mean_ref", "mean_best", "mean_uplift")
     return report.withColumns({c: F.round(c, 9) for c in means})
 
@@ -876,8 +896,12 @@ def _answers(requests: DataFrame) -> DataFrame:
 @query(
     "evaluate_end_to_end",
     f"""WITH {PROMPT_LABEL_SQL},
-    sampled AS (SELECT * FROM prompt_label
-                ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id LIMIT 10),
+    sampled AS (
+      SELECT * FROM (
+        SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) AS nth,
+               count(*) OVER () AS asked
+        FROM prompt_label)
+      WHERE nth <= floor(CAST({t.SHARE} AS DOUBLE) * asked)),
     scored AS (
       SELECT row_id, cand, 1 / (1 + exp(-(length(prompt || substring(label, 1,
                CAST(1 + row_id * (cand + 3) % 97 AS INTEGER))) / 1000 - 1))) AS score
@@ -892,7 +916,7 @@ def _answers(requests: DataFrame) -> DataFrame:
 def _evaluate_end_to_end(spark, sf_dir):
     """Sample, copies, answers, scorer, best of each, report."""
     prompts = t.prompt_label(spark, sf_dir).withColumn("query", F.col("prompt"))
-    candidates = _answers(candidate_requests(prompts, 10, 4))
+    candidates = _answers(candidate_requests(prompts, t.SHARE, 4))
     best = evaluate_candidates(candidates, _length_scorer, with_query=True)
     first = evaluate_candidates(candidates.where("cand = 0"), _length_scorer, with_query=True)
     report = evaluation_report(best, first)
@@ -1225,3 +1249,130 @@ def _stream_closed_windows(spark, sf_dir):
 @query("batch_reward_stats", _daily_sql())
 def _batch_reward_stats(spark, sf_dir):
     return _rounded(stream_reward_stats(t.game_log(spark, sf_dir)))
+
+
+# --- pairing by place, split CSV, retries, late rows, resampling, sketches, subtotals ----
+
+
+def _users(spark, sf_dir):
+    """Two scores per user."""
+    values = t.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("row_id"))
+    return values.agg(F.avg("value").alias("p"), F.max("value").alias("q")).select(
+        "row_id",
+        F.concat(F.lit('user "'), F.col("row_id").cast("string"), F.lit('"\n,and more')).alias("query"),
+        F.lit("answer").alias("response"),
+        "p",
+        "q",
+    )
+
+
+_USERS_SQL = """users AS (
+  SELECT user_id AS row_id, avg(value) AS p, max(value) AS q FROM events GROUP BY user_id)"""
+
+
+def _one_line(rows: DataFrame, score: str) -> DataFrame:
+    return rows.select("row_id", F.lit("q").alias("query"), "response", F.col(score).alias("score"))
+
+
+@query(
+    "align_by_position",
+    f"""WITH {_USERS_SQL}
+    SELECT 'policy' AS run, row_number() OVER (ORDER BY row_id) - 1 AS position,
+           round(p, 9) AS p, round(q, 9) AS q FROM users""",
+)
+def _align_by_position(spark, sf_dir):
+    """Two CSV files of one order and unlike splitting, whose row numbers are not used."""
+    users = kept(_users(spark, sf_dir), "users")
+    paths = fresh_path(spark, "policy-csv"), fresh_path(spark, "reference-csv")
+    spread = _one_line(users, "p").repartitionByRange(5, "row_id").sortWithinPartitions("row_id")
+    sources.write_scores(spread, paths[0], "csv")
+    sources.write_scores(_one_line(users, "q").coalesce(1).sortWithinPartitions("row_id"), paths[1], "csv")
+    ours, theirs = (with_positions(sources.read_scores(spark, p, "csv")).drop("row_id") for p in paths)
+    aligned = align_scores(ours.withColumn("run", F.lit("policy")), theirs, "position")
+    return aligned.withColumns({c: F.round(c, 9) for c in ("p", "q")})
+
+
+@query(
+    "read_scores_csv_splits",
+    f"""WITH {_USERS_SQL}
+    SELECT row_id, 'user "' || CAST(row_id AS VARCHAR) || '"' || chr(10) || ',and more' AS query,
+           'answer' AS response, round(p, 9) AS score FROM users""",
+)
+def _read_scores_csv_splits(spark, sf_dir):
+    path = fresh_path(spark, "quoted-csv")
+    sources.write_scores(_users(spark, sf_dir).withColumn("score", F.col("p")), path, "csv")
+    return sources.read_scores(spark, path, "csv", splits=True).withColumn("score", F.round("score", 9))
+
+
+@query(
+    "rouge_bootstrap",
+    f"""WITH {_rouge_sql(1)},
+    drawn AS (
+      SELECT b, f, {" + ".join(f"(CASE WHEN x >= {step} THEN 1 ELSE 0 END)" for step in poisson_steps())} AS times
+      FROM (SELECT b, f, CAST('0x' || substr(md5('42:' || b || ':' || conv_id || ':' || turn), 1, 8) AS BIGINT) AS x
+            FROM f, (SELECT unnest(range(1, 201)) AS b))),
+    means AS (SELECT b, sum(times * f) / sum(times) AS mean, count(*) AS n FROM drawn GROUP BY b)
+    SELECT 'rouge1' AS kind, round(quantile_cont(mean, 0.025), 9) AS low,
+           round(quantile_cont(mean, 0.5), 9) AS middle, round(quantile_cont(mean, 0.975), 9) AS high,
+           max(n) AS n
+    FROM means""",
+)
+def _rouge_bootstrap(spark, sf_dir):
+    rows = rouge_bootstrap(_rouge_rows(spark, sf_dir), ("rouge1",), key=_PAIR_KEY)
+    return rows.withColumns({c: F.round(c, 9) for c in ("low", "middle", "high")})
+
+
+@query("stream_reward_upserts", _daily_sql())
+def _stream_reward_upserts(spark, sf_dir):
+    path = fresh_path(spark, "stream-versions")
+    stats = stream_reward_stats(_arriving_log(spark, sf_dir))
+    upsert(stats, path, fresh_path(spark, "stream-checkpoint")).awaitTermination()
+    return _rounded(current(spark, path))
+
+
+@query(
+    "append_game_log_again",
+    f"""WITH {GAME_LOG_SQL}
+    SELECT run, step, query, response, ref_response, ref_reward, reward FROM game_log""",
+)
+def _append_game_log_again(spark, sf_dir):
+    """A log in two batches, of which the second is retried."""
+    path = fresh_path(spark, "game-log-batches")
+    log = t.game_log(spark, sf_dir)
+    for nth in (0, 1, 1):
+        sources.append_game_log(log.where(F.col("step") % 2 == nth), path, batch=f"steps-{nth}")
+    return sources.read_game_log(spark, path).drop("ts")
+
+
+@query(
+    "reward_sketches",
+    f"""WITH {GAME_LOG_SQL}
+    SELECT run, CAST(share AS DOUBLE) AS share, count(reward) AS n, true AS within
+    FROM game_log, (SELECT unnest([0.1, 0.5, 0.9]) AS share) GROUP BY ALL""",
+)
+def _reward_sketches(spark, sf_dir):
+    """Quantiles of runs from sketches of steps; whether their ranks are off by no more than stated."""
+    log = t.game_log(spark, sf_dir)
+    merged = merge_sketches(reward_sketches(log))
+    found = kept(sketch_quantiles(merged, (0.1, 0.5, 0.9)), "sketch-quantiles")
+    below, upto = F.count_if(F.col("reward") < F.col("value")), F.count_if(F.col("reward") <= F.col("value"))
+    ranks = log.select("run", "reward").join(found, "run").groupBy("run", "share", "n")
+    margin = RANK_ERROR * F.col("n") + 1
+    off = F.greatest(F.col("below") - F.col("share") * F.col("n"), F.col("share") * F.col("n") - F.col("upto"))
+    return ranks.agg(below.alias("below"), upto.alias("upto")).select("run", "share", "n", (off <= margin).alias("within"))
+
+
+@query(
+    "sweep_report",
+    f"""WITH {NOISE_RUNS_SQL},
+    named AS (
+      SELECT regexp_extract(run, '^(.*?)(?:_([0-9]+))?$', 1) AS method,
+             regexp_extract(run, '^(.*?)(?:_([0-9]+))?$', 2) AS digits, score FROM noise_runs),
+    levels AS (
+      SELECT method, CAST(digits[1] || '.' || substr(digits, 2) AS DOUBLE) AS level, score FROM named)
+    SELECT method, level, CAST(grouping(method, level) AS INTEGER) AS subtotal,
+           round(avg(score), 12) AS mean, count(score) AS n
+    FROM levels GROUP BY ROLLUP (method, level)""",
+)
+def _sweep_report(spark, sf_dir):
+    return sweep_report(t.noise_runs(spark, sf_dir)).withColumn("mean", F.round("mean", 12))

@@ -64,8 +64,11 @@ comparisons AS (
 )"""
 
 
-# Validation rows that the queries keep: fewer than any of the given tables has.
-HEAD = 20
+# Validation rows that the queries keep, or all where there are fewer; and a head that
+# every one of the given tables has, for the queries that insist on it.
+HEAD, STRICT_HEAD = 2000, 20
+# The share of the prompts that evaluations answer.
+SHARE = 0.1
 
 
 def noised_sql(level: float, head: int = HEAD) -> str:
