@@ -29,7 +29,7 @@ FILTERS = "ABCDE"
 ORDERS = tuple("".join(p) for p in permutations(FILTERS))
 SYMBOLS = "#$%&*|"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-BATCHES = 8  # so many micro-batches at most, so that state is read as often at any size
+BATCHES = 3  # so many micro-batches at most, so that state is read as often at any size
 REPEATED = 1 << FILTERS.index("E")
 
 _KEY = "text_key"
