@@ -188,13 +188,18 @@ def links(points: DataFrame, radius: int = 3) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)``: the smallest node that each node is joined with.
 
-    Alternates two steps until nothing changes: every node's larger neighbours,
-    and then its smaller ones, are linked to the smallest node it sees. Stars
-    remain. A node with very many links is joined as rows, never gathered.
+    Alternates two steps until only stars are left: every node's larger
+    neighbours, and then its smaller ones, are linked to the smallest node it
+    sees. A node with very many links is joined as rows, never gathered.
     """
 
-    def signature(df: DataFrame) -> tuple:
-        return tuple(df.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def all_stars(links: DataFrame) -> bool:
+        """Whether each node has one link to a smaller one, or only links to larger ones."""
+        up = F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        down = F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        ends = links.select(F.explode(F.array(up, down)).alias("end")).select("end.*")
+        seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return not seen.agg(F.max(F.expr("up + down > 1 AND up > 0"))).first()[0]
 
     def stars(links: DataFrame, large: bool) -> DataFrame:
         """From rows (a, b): b's and a's smallest neighbour."""
@@ -209,17 +214,14 @@ def components(edges: DataFrame) -> DataFrame:
         drop(least)
         return out
 
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = signature(edges)
-    while True:
+    greater, lesser = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    edges = cut(edges.where("a <> b").select(greater, lesser).distinct(), "links")
+    while not all_stars(edges):
         half = stars(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), True)
         drop(edges)
         edges = stars(half, False)
         drop(half)
-        after = signature(edges)
-        if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def labels(marked: DataFrame, radius: int) -> DataFrame:

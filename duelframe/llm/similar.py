@@ -187,8 +187,8 @@ def _mixed(texts: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def similar_roots(marked: DataFrame, roots: DataFrame, last: np.ndarray) -> DataFrame:
-    """``(node, root)`` of fingerprints: ``roots``, and what similar texts join beyond them.
+def similar_roots(marked: DataFrame, near: DataFrame, last: np.ndarray) -> DataFrame:
+    """``(node, root)`` of fingerprints: what the links ``near`` join, and similar texts beyond them.
 
     ``marked`` has ``n, fp, text, same, size``. Texts with the same set are
     compared once.
@@ -196,7 +196,7 @@ def similar_roots(marked: DataFrame, roots: DataFrame, last: np.ndarray) -> Data
     firsts = marked.where("size > 0").groupBy("same").agg(F.min("fp").alias("m"))
     firsts = cut(firsts, "same-sets")
     equal = marked.where("size > 0").select("same", "fp").distinct().join(firsts, "same").where("fp <> m")
-    links = [roots.selectExpr("node AS a", "root AS b"), equal.selectExpr("fp AS a", "m AS b").distinct()]
+    links = [near.select("a", "b"), equal.selectExpr("fp AS a", "m AS b").distinct()]
     joined = lambda: simhash.components(reduce(DataFrame.unionByName, links))
     roots = joined()
     texts, shared = _meeting(marked, last)
@@ -225,9 +225,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     packed = packed.withColumn("_set", _known("text"))
     marked = packed.select("_row", "doc_id", "fp", "_set.*", F.monotonically_increasing_id().alias("n"))
     marked = cut(marked, "fingerprints")
-    roots = simhash.components(simhash.links(marked.select("fp").distinct()))
+    near = simhash.links(marked.select("fp").distinct())
     texts = marked.select("n", "fp", F.col("_row").getField("text").alias("text"), "same", "size")
-    roots = similar_roots(texts, roots, _frequent(docs))
+    roots = similar_roots(texts, near, _frequent(docs))
     first = simhash.first_rows(marked.select("doc_id", "fp", "n"), roots)
     first = cut(first.select(F.col("least.n").alias("n")).distinct(), "kept-rows")
     return _those(marked, first).select("_row.*")
