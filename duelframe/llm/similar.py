@@ -9,9 +9,12 @@ Any order gives the same links: frequent shingles of a sample come last, so that
 few sets are placed at them.
 
 Only shingles at which several groups meet are kept, and no two texts of a group
-that is joined already are compared. Each shingle's first text is compared with
-the others there first, as long as this joins enough of them: a large group of
-near copies becomes one so, and its texts aren't compared with each other.
+that is joined already are compared. Of each shingle's texts that with the fewest
+rare shingles, which is nearest to what the others have in common, is compared
+with the others there first, as long as this joins enough of them: a large group
+of near copies becomes one so, and its texts aren't compared with each other. A
+first shingle that no other set has is lost to any overlap: two texts of which
+one has too many of them don't meet.
 
 A null text is empty; a text without a word has no shingles and is linked by
 its fingerprint only. A text of fewer than five words is one shingle. Rows with
@@ -89,10 +92,10 @@ def _known(text: str) -> Column:
 
 
 def _placed(text: str, last: np.ndarray) -> Column:
-    """The first shingles of a text's set, where ``last`` come last."""
+    """The first shingles of a text's set, where ``last`` come last, and how many aren't of ``last``."""
 
     def run(texts: pa.Array) -> pa.Array:
-        firsts = []
+        firsts, rare = [], []
         for t in texts:
             own = shingle_set(t.as_py())
             if len(own):
@@ -100,9 +103,10 @@ def _placed(text: str, last: np.ndarray) -> Column:
                 late = last[at] == own if len(last) else np.zeros(len(own), bool)
                 own = np.concatenate([own[~late], own[late]])
             firsts.append(own[: _first(len(own))])
-        return _arrays(firsts)
+            rare.append(int((~late).sum()) if len(own) else 0)
+        return pa.StructArray.from_arrays([_arrays(firsts), pa.array(rare, pa.int32())], ["first", "rare"])
 
-    return F.arrow_udf(run, "array<long>")(text)
+    return F.arrow_udf(run, "struct<first:array<long>,rare:int>")(text)
 
 
 def _first(n: int) -> int:
@@ -120,6 +124,11 @@ def _similar_sizes(a: str, b: str) -> str:
     return f"{IN} * {a} >= {OF} * {b} AND {IN} * {b} >= {OF} * {a}"
 
 
+def _room(a: str, most_a: str, b: str, most_b: str) -> str:
+    """Whether sets of these sizes are similar if they have in common what both can have at most."""
+    return f"{OF + IN} * least({most_a}, {most_b}) >= {OF} * ({a} + {b})"
+
+
 def _enough(met: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` that meet as often as similar ones do, from ``a, b, _a, _b`` with sizes.
 
@@ -134,16 +143,18 @@ def _enough(met: DataFrame) -> DataFrame:
 
 
 def first_pairs(mixed: DataFrame) -> DataFrame:
-    """Candidates of each shingle's first text with the others, from ``shingle, n, size, root, first``."""
-    met = mixed.where("root <> first.root AND " + _similar_sizes("size", "first.size"))
+    """Candidates of each shingle's first text with the others, from ``shingle, n, size, most, root, first``."""
+    near = _similar_sizes("size", "first.size") + " AND " + _room("size", "most", "first.size", "first.most")
+    met = mixed.where("root <> first.root AND " + near)
     return _enough(met.selectExpr("first.n AS a", "n AS b", "first.size AS _a", "size AS _b"))
 
 
 def all_pairs(mixed: DataFrame) -> DataFrame:
     """Candidates of any two texts at a shingle that aren't joined yet: all similar ones, and few others."""
-    one = mixed.selectExpr("shingle", "n AS a", "size AS _a", "root AS _r")
-    two = mixed.selectExpr("shingle", "n AS b", "size AS _b", "root AS _s")
-    return _enough(one.join(two, "shingle").where("a < b AND _r <> _s AND " + _similar_sizes("_a", "_b")))
+    one = mixed.selectExpr("shingle", "n AS a", "size AS _a", "most AS _most", "root AS _r")
+    two = mixed.selectExpr("shingle", "n AS b", "size AS _b", "most AS _least", "root AS _s")
+    near = _similar_sizes("_a", "_b") + " AND " + _room("_a", "_most", "_b", "_least")
+    return _enough(one.join(two, "shingle").where("a < b AND _r <> _s AND " + near))
 
 
 def _verified(marked: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -161,24 +172,33 @@ def _verified(marked: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _meeting(marked: DataFrame, last: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """``(n, fp, size)`` of one text for each set, and ``(shingle, n)`` of shingles where several meet."""
+    """``(n, fp, size, rare, most)`` of one text for each set, and ``(shingle, n)`` of shingles where several meet.
+
+    ``most`` is what a set can have in common with any other: all but the first
+    shingles that it has alone. Sets whose first shingles no other has are left out.
+    """
     alike = cut(marked.where("size > 0").groupBy("same").agg(F.min("n").alias("n")).select("n"), "alike")
-    some = cut(_those(marked, alike).select("n", "fp", "size", _placed("text", last).alias("first")), "first-shingles")
+    placed = _those(marked, alike).select("n", "fp", "size", _placed("text", last).alias("_placed"))
+    some = cut(placed.select("n", "fp", "size", "_placed.*"), "first-shingles")
     at = some.select("n", F.explode("first").alias("shingle"))
     several = at.groupBy("shingle").agg(F.count("*").alias("_times")).where("_times > 1").select("shingle")
     several = cut(several, "several")
     shared = cut(at.join(several, "shingle").select("shingle", "n"), "shared-shingles")
-    texts = cut(some.select("n", "fp", "size"), "texts")
+    met = shared.groupBy("n").agg(F.count("*").alias("_met"))
+    alone = F.size("first") - F.col("_met")
+    most = (F.col("size") - alone).cast("int").alias("most")
+    texts = some.join(met, "n").select("n", "fp", "size", "rare", most)
+    texts = cut(texts, "texts")
     drop(alike, some, several)
     return texts, shared
 
 
 def _mixed(texts: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(shingle, n, size, root, first)`` where several groups meet, with the first text there; written."""
+    """``(shingle, n, size, most, root, first)`` where several groups meet, with the first text there; written."""
     root = F.coalesce("root", "fp").alias("root")
-    named = cut(texts.join(roots, F.col("fp") == F.col("node"), "left").select("n", "size", root), "named")
+    named = cut(texts.join(roots, F.col("fp") == F.col("node"), "left").select("n", "size", "rare", "most", root), "named")
     rows = cut(shared.join(named, "n"), "shingle-texts")
-    first = F.min(F.struct("n", "size", "root")).alias("first")
+    first = F.min(F.struct("rare", "n", "size", "most", "root")).alias("first")
     least, most = F.min("root").alias("_least"), F.max("root").alias("_most")
     met = rows.groupBy("shingle").agg(first, least, most).where("_least <> _most")
     met = cut(met.select("shingle", "first"), "meeting")

@@ -466,6 +466,33 @@ def test_near_copies_are_those_of_all_pairs(spark, none, monkeypatch):
     assert similar.keep_first(none).count() == 0
 
 
+def test_edited_copies_of_one_text_do_not_all_meet(spark, monkeypatch):
+    """Texts with too many shingles of their own to be similar aren't paired."""
+    rng = random.Random(5)
+    base = ["w%d" % k for k in rng.sample(range(3000), 100)]
+    docs = []
+    for k in range(60):
+        copy = list(base)
+        for place in range(5, 5 + 9 * (3 if k else 0), 9):
+            copy[place] = f"own{k}x{place}"
+        docs.append((k, k, " ".join(copy)))
+    last = similar.shingle_set(" ".join(base))
+    marked = spark.createDataFrame(docs, "n long, fp long, text string").withColumn("_set", similar._known("text"))
+    texts, shared = similar._meeting(marked.select("n", "fp", "text", "_set.*"), last)
+    sets = {k: set(similar.shingle_set(text).tolist()) for k, _, text in docs}
+    held = Counter(x for own in sets.values() for x in own)
+    got = {r.n: r for r in texts.collect()}
+    assert all(r.rare == sum(held[x] == 1 for x in sets[k]) == r.size - r.most == 15 for k, r in got.items() if k)
+    assert len(got) > 40
+    roots = spark.createDataFrame([], "node long, root long")
+    mixed = similar._mixed(texts, shared, roots)
+    assert mixed.count() > 40
+    met, enough = [], similar._enough
+    monkeypatch.setattr(similar, "_enough", lambda rows: met.append(rows.count()) or enough(rows))
+    similar.all_pairs(mixed)
+    assert met == [0]  # one overlap of 81 at most, of 86 that two sets of 96 need
+
+
 # --- benchmark -------------------------------------------------------------------------
 
 
