@@ -8,6 +8,7 @@ partitioning or row order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ def key_hash(key: Key, seed: int) -> Column:
 
 
 _RUN = 1 << 16  # equal rows that are numbered at a time
+_ROWS = 1 << 19  # rows that a task writes out, about
 
 
 def with_key(df: DataFrame, key: str = "row_id") -> DataFrame:
@@ -44,7 +46,8 @@ def with_key(df: DataFrame, key: str = "row_id") -> DataFrame:
 
     The same rows get the same keys, in whatever order they come. Equal rows are
     counted before the shuffle and written out again from their count, so they
-    never meet in one group.
+    never meet in one group. The rows are counted once at the call: by their number
+    the runs are dealt to tasks, as few counts may stand for very many rows.
     """
     if key in df.columns:
         raise ValueError(f"there is a column {key!r} already")
@@ -52,6 +55,8 @@ def with_key(df: DataFrame, key: str = "row_id") -> DataFrame:
     content = F.md5(F.to_json(F.struct(*columns)))
     counted = df.groupBy(*columns, content.alias(key)).agg(F.count("*").alias("_n"))
     runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {_RUN}"))))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, ceil(df.count() / _ROWS))
+    runs = runs.repartition(tasks, key, "_run")
     first = F.col("_run") * _RUN
     last = F.least(first + _RUN, F.col("_n")) - 1
     numbered = runs.withColumn("_nth", F.explode(F.sequence(first, last)))

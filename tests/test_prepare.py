@@ -188,6 +188,17 @@ def test_keys_for_rows_without_one(spark, monkeypatch):
         keys.with_key(df, "n")
 
 
+def test_equal_rows_are_written_out_by_many_tasks(spark, monkeypatch):
+    import duelframe.keys as keys
+
+    monkeypatch.setattr(keys, "_RUN", 50)
+    monkeypatch.setattr(keys, "_ROWS", 100)
+    keyed = keys.with_key(spark.range(2000).selectExpr("'a' AS x"))
+    rows = keyed.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in rows) == keyed.select("row_id").distinct().count() == 2000
+    assert len(rows) > 10 and max(r["count"] for r in rows) < 500
+
+
 def test_keyed_source_keeps_its_validation_rows(spark):
     from duelframe.keys import with_key
 
