@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.functions.tokens import ngrams, words
+from duelframe.functions.tokens import words
 from duelframe.keys import Key, key_names
 
 
@@ -20,6 +20,12 @@ def _f_measure(overlap: Column, predicted: Column, referred: Column) -> Column:
     return F.coalesce(F.try_divide(F.lit(2.0) * overlap, both), F.lit(0.0))
 
 
+def _common_grams(a: list[str], b: list[str], n: int) -> int:
+    """N-grams of both, each as often as both have it."""
+    one, other = (Counter(zip(*(words[k:] for k in range(n)))) for words in (a, b))
+    return (one & other).total()
+
+
 def rouge_n(
     df: DataFrame,
     n: int,
@@ -29,40 +35,23 @@ def rouge_n(
 ) -> DataFrame:
     """ROUGE-n of every row: precision, recall and F over clipped n-gram counts.
 
-    Rows are spread by key before their n-grams are counted, so both groupings
-    find their rows in place and the n-grams themselves are not shuffled.
+    Rows are spread by key, and n-grams are counted row by row inside Arrow
+    batches: none of them becomes a row, is grouped or shuffled.
     """
+    if n < 1:
+        raise ValueError("n must be at least 1")
     names = key_names(key)
 
-    def grams(tokens: str, in_prediction: int, in_reference: int) -> Column:
-        return F.transform(
-            ngrams(F.col(tokens), n),
-            lambda g: F.struct(
-                g.alias("gram"), F.lit(in_prediction).alias("p"), F.lit(in_reference).alias("r")
-            ),
-        )
+    @F.pandas_udf("long")
+    def common(p: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([_common_grams(list(a), list(b), n) for a, b in zip(p, r)], dtype="int64")
 
-    both = F.concat(grams("_p", 1, 0), grams("_r", 0, 1))
-    counted = (
-        df.select(*names, prediction, reference)
-        .repartition(*names)
-        .select(*names, words(F.col(prediction)).alias("_p"), words(F.col(reference)).alias("_r"))
-        .select(*names, F.explode_outer(both).alias("g"))
-        .groupBy(*names, "g.gram")
-        .agg(F.sum("g.p").alias("p"), F.sum("g.r").alias("r"))
-    )
-    totals = counted.groupBy(*names).agg(
-        F.coalesce(F.sum(F.least("p", "r")), F.lit(0)).alias("overlap"),
-        F.coalesce(F.sum("p"), F.lit(0)).alias("predicted"),
-        F.coalesce(F.sum("r"), F.lit(0)).alias("referred"),
-    )
-    overlap, predicted, referred = F.col("overlap"), F.col("predicted"), F.col("referred")
-    return totals.select(
-        *names,
-        F.coalesce(F.try_divide(overlap, predicted), F.lit(0.0)).alias("precision"),
-        F.coalesce(F.try_divide(overlap, referred), F.lit(0.0)).alias("recall"),
-        _f_measure(overlap, predicted, referred).alias("f"),
-    )
+    def grams(text: str) -> Column:
+        return F.greatest(F.size(_words(text)) - (n - 1), F.lit(0))
+
+    rows = df.select(*names, prediction, reference).repartition(*names)
+    hits = common(_words(prediction), _words(reference))
+    return _from_hits(rows, hits, grams(prediction), grams(reference), key)
 
 
 def _match_rows(a: list[str], b: list[str]) -> Iterator[int]:

@@ -277,6 +277,14 @@ def test_grams_are_not_shuffled(spark):
     assert plan(rouge_n(df, 2)).count("Exchange") == 1
 
 
+def test_grams_are_counted_within_their_row(spark):
+    """No n-gram is a row of its own, so a task holds no table of them."""
+    df = spark.createDataFrame([(1, "a b a b", "a b b a b"), (2, None, "a")], "row_id long, prediction string, reference string")
+    rows = rouge_n(df, 2)
+    assert "HashAggregate" not in plan(rows) and "Generate" not in plan(rows)
+    assert {r.row_id: (r.precision, r.recall) for r in rows.collect()} == {1: (1.0, 0.75), 2: (0.0, 0.0)}
+
+
 def test_groups_are_combined_before_the_shuffle(spark):
     df = spark.range(10).selectExpr(
         "'a' AS run", "id AS row_id", "1 AS cand", "'r' AS response", "0.5D AS score", "0.5D AS reward"
