@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -18,6 +19,9 @@ from duelframe.functions.tokens import words
 
 Scorer = Callable[[list[str]], list[float]]
 
+# So many characters of the pairs are a task's; their vectors take about four times as much.
+CHARACTERS = 1 << 24
+
 
 def score_responses(
     df: DataFrame,
@@ -97,9 +101,15 @@ def both_ways(
 ) -> DataFrame:
     """Every pair of texts twice, as ``_pair`` vectors: ``_way`` 0 has ``one`` first.
 
-    Each text is cut into words and hashed once.
+    Each text is cut into words and hashed once. The pairs are dealt to as many
+    tasks as their texts' length asks for, which is added up first: an optimiser
+    reads a task's vectors as a whole.
     """
-    texts = df.select(*keep, words(one).alias("_a"), words(other).alias("_b"))
+    given = df.select(*keep, one.alias("_a"), other.alias("_b"))
+    length = [F.coalesce(F.length(c), F.lit(0)).cast("long") for c in ("_a", "_b")]
+    total = given.agg(F.sum(length[0] + length[1])).first()[0] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, ceil(total / CHARACTERS))
+    texts = given.repartition(tasks).withColumns({c: words(F.col(c)) for c in ("_a", "_b")})
     hashed = _hashed(texts, F.col("_a"), "_one", buckets)
     hashed = _hashed(hashed, F.col("_b"), "_other", buckets)
     ways = F.posexplode(

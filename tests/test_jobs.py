@@ -194,6 +194,16 @@ def test_linear_reward_learns(spark, learnable, tmp_path):
     assert weights(spark, reward).count() == 64
 
 
+def test_pairs_are_dealt_by_the_length_of_their_texts(spark, monkeypatch):
+    import duelframe.operators.scoring as scoring
+
+    monkeypatch.setattr(scoring, "CHARACTERS", 1000)
+    pairs = spark.range(300).selectExpr("concat('good ', id) AS a", "concat('bad w', id) AS b").coalesce(1)
+    ways = scoring.both_ways(pairs, F.col("a"), F.col("b"), 64)
+    counts = [r["count"] for r in ways.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 600 and len(counts) > 4 and max(counts) < 300
+
+
 def test_noise_costs_accuracy(learnable):
     rows = noise_vs_accuracy(learnable, (0.0, 0.2, 1.0), buckets=64, max_iter=15).collect()
     by_level = {r.noise_level: r for r in rows}
