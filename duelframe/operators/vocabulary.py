@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -29,6 +30,8 @@ from duelframe.session import kept
 # megabytes. Words beyond are joined.
 SHIPPED_WORDS = 500_000
 SHIPPED_LENGTH = 64
+# For words beyond, two to this power neighbouring rows share one list of them.
+TOGETHER = 8
 
 
 @dataclass(frozen=True)
@@ -112,15 +115,13 @@ def encode(df: DataFrame, vocab: Vocabulary, columns: dict[str, str]) -> DataFra
     """
     shared = vocab.shipped
 
-    def look_up(batch: pa.Array) -> pa.Array:
+    def look_up(tokens: pa.Array) -> pa.Array:
         known, numbers = shared.value
-        at = pc.index_in(batch.flatten().cast(pa.string()), value_set=known)
-        return _lists(numbers.take(at), batch)
+        return numbers.take(pc.index_in(tokens.cast(pa.string()), value_set=known))
 
-    to_ids = F.arrow_udf(look_up, "array<int>")
     table = vocab.table.select(F.col("token").alias("_value"), F.col("token_id").alias("_found"))
     values = {ids: words(F.col(text), WORD_OR_EOS) for text, ids in columns.items()}
-    return _filled(df, values, to_ids, None if vocab.complete else table, F.lit(UNK_ID))
+    return _filled(df, values, look_up, "string", "int", None if vocab.complete else table, UNK_ID)
 
 
 def decode(
@@ -135,70 +136,90 @@ def decode(
     """
     shared = vocab.shipped
 
-    def spell(batch: pa.Array) -> pa.Array:
+    def spell(ids: pa.Array) -> pa.Array:
         known, numbers = shared.value
-        return _lists(known.take(pc.index_in(batch.flatten(), value_set=numbers)), batch)
+        return known.take(pc.index_in(ids.cast(pa.int32()), value_set=numbers))
 
     def kept_ids(ids: str) -> Column:
         return F.filter(F.col(ids), lambda i: i >= FIRST_WORD_ID) if skip_special_tokens else F.col(ids)
 
-    to_words = F.arrow_udf(spell, "array<string>")
     table = vocab.table.select(F.col("token_id").alias("_value"), F.col("token").alias("_found"))
-    unknown = F.raise_error(F.lit("token id outside the vocabulary")).cast("string")
     values = {text: kept_ids(ids) for ids, text in columns.items()}
-    spelled = _filled(df, values, to_words, None if vocab.complete else table, unknown)
+    spelled = _filled(df, values, spell, "int", "string", None if vocab.complete else table, None)
     return spelled.withColumns({text: F.array_join(text, " ") for text in values})
 
 
+OUTSIDE = "token id outside the vocabulary"
+
+
 def _filled(
     df: DataFrame,
     values: dict[str, Column],
-    look_up: Callable[[Column], Column],
+    look_up: Callable[[pa.Array], pa.Array],
+    given: str,
+    kind: str,
     table: DataFrame | None,
-    unknown: Column,
+    unknown: int | None,
 ) -> DataFrame:
     """Add arrays: for each value what the look-up has, or else what ``table`` has, or ``unknown``.
 
-    Without a table nothing is joined. Otherwise rows are numbered and written with
-    what the look-up has, and the values that it doesn't have are joined to the
-    table by value and back by the row's number, whatever keys the rows have. Rows
-    without such values stay out of the joins.
+    Without ``unknown`` a value that neither has is an error. Without a table nothing
+    is joined. Otherwise rows are written with what the look-up has. Of the values
+    that it doesn't have, each is joined to the table once for some neighbouring
+    rows, and the rows meet that list, whatever keys they have. Rows without such
+    values stay out of it.
     """
-    known = {name: look_up(value) for name, value in values.items()}
-    if table is None:
-        return df.withColumns({n: F.transform(k, lambda x: F.coalesce(x, unknown)) for n, k in known.items()})
 
-    def missing(nth: int) -> Column:
-        """Column, place and value of what the look-up doesn't have."""
-        parts = F.transform(
-            F.arrays_zip(F.col(f"_value{nth}").alias("v"), F.col(f"_known{nth}").alias("k")),
-            lambda p, i: F.struct(F.lit(nth).alias("c"), i.alias("i"), p["v"].alias("v"), p["k"].isNull().alias("open")),
-        )
-        return F.coalesce(F.filter(parts, lambda p: p["open"]), F.array())
+    def complete(batch: pa.Array) -> pa.Array:
+        found = look_up(batch.flatten())
+        if found.null_count and unknown is None:
+            raise ValueError(OUTSIDE)
+        return _lists(found if unknown is None else found.fill_null(unknown), batch)
 
+    if table is None:
+        complete = F.arrow_udf(complete, f"array<{kind}>")
+        return df.withColumns({name: complete(value) for name, value in values.items()})
+
+    def opened(batch: pa.Array) -> pa.Array:
+        """What the look-up has, and the values that it doesn't have, in order."""
+        flat = batch.flatten()
+        found = look_up(flat)
+        missing = found.is_null()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy())
+        before = np.concatenate([[0], np.cumsum(missing.to_numpy(zero_copy_only=False))])
+        offsets = pa.array(before[np.concatenate([[0], ends])], pa.int32())
+        rest = pa.ListArray.from_arrays(offsets, flat.filter(missing))
+        return pa.StructArray.from_arrays([_lists(found, batch), rest], ["found", "open"])
+
+    opened = F.arrow_udf(opened, f"struct<found:array<{kind}>,open:array<{given}>>")
+    each = range(len(values))
+    place = F.monotonically_increasing_id()  # the partition's number, and 33 bits of the place in it
     looked = df.select(
         F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("_in"),
-        F.monotonically_increasing_id().alias("_row"),
-        *[value.alias(f"_value{nth}") for nth, value in enumerate(values.values())],
-        *[found.alias(f"_known{nth}") for nth, found in enumerate(known.values())],
-    )
-    each = range(len(values))
-    arrays = [f"_known{nth}" for nth in each]
-    marked = kept(looked.select("_in", "_row", *arrays, F.concat(*map(missing, each)).alias("_open")), "looked-up")
-    rest = marked.select("_row", F.explode("_open").alias("p")).select(
-        "_row", "p.c", "p.i", F.col("p.v").alias("_value")
+        F.shiftright(place, TOGETHER).alias("_near"),
+        *[opened(value).alias(f"_{nth}") for nth, value in enumerate(values.values())],
     )
-    found = rest.join(table, "_value", "left").select("_row", F.struct("c", "i", F.coalesce("_found", unknown).alias("x")).alias("p"))
-    late = found.groupBy("_row").agg(F.collect_list("p").alias("_late"))
-    done = marked.where(F.size("_open") == 0).withColumn("_late", F.lit(None))
-    whole = done.unionByName(marked.where(F.size("_open") > 0).join(late, "_row"))
-
-    def patched(nth: int) -> Column:
-        mine = F.transform(F.col(f"_known{nth}"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-        mine = F.filter(mine, lambda p: p["x"].isNotNull())
-        other = F.transform(F.filter("_late", lambda p: p["c"] == nth), lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x")))
-        all_ = F.transform(F.array_sort(F.concat(mine, other)), lambda p: p["x"])
-        return F.when(F.col("_late").isNull(), F.col(f"_known{nth}")).otherwise(all_)
-
+    marked = kept(looked, "looked-up")
+    some = sum((F.size(f"_{nth}.open") for nth in each), F.lit(0)) > 0
+    rest = marked.select("_near", F.explode(F.concat(*[F.col(f"_{nth}.open") for nth in each])).alias("_value")).distinct()
+    instead = F.raise_error(F.lit(OUTSIDE)).cast(kind) if unknown is None else F.lit(unknown)
+    listed = rest.join(table, "_value", "left")
+    listed = listed.select(F.col("_near").alias("_of"), "_value", F.coalesce("_found", instead).alias("_found"))
+
+    def patched(rows: pa.Table, late: pa.Table) -> pa.Table:
+        keys, found = late["_value"].combine_chunks(), late["_found"].combine_chunks()
+        arrays = {"_in": rows["_in"]}
+        for nth in each:
+            known, rest = (rows[f"_{part}{nth}"].combine_chunks() for part in ("found", "open"))
+            flat = known.flatten()
+            new = found.take(pc.index_in(rest.flatten(), value_set=keys))
+            arrays[f"_found{nth}"] = _lists(pc.replace_with_mask(flat, flat.is_null(), new), known)
+        return pa.table(arrays)
+
+    parts = [F.col(f"_{nth}.{part}").alias(f"_{part}{nth}") for nth in each for part in ("found", "open")]
+    near = marked.where(some).select("_in", "_near", *parts).groupBy("_near").cogroup(listed.groupBy("_of"))
+    arrays = [f"_found{nth}" for nth in each]
+    done = marked.where(~some).select("_in", *[F.col(f"_{nth}.found").alias(f"_found{nth}") for nth in each])
+    whole = done.unionByName(near.applyInArrow(patched, done.schema))
     others = [F.col("_in")[c].alias(c) for c in df.columns if c not in values]
-    return whole.select(*others, *[patched(nth).alias(name) for nth, name in enumerate(values)])
+    return whole.select(*others, *[F.col(a).alias(name) for a, name in zip(arrays, values, strict=True)])

@@ -291,6 +291,19 @@ def test_tokens_of_rows_with_repeated_and_missing_keys(spark, shipped):
     assert all((r.a2, r.b2) == (r.a, r["_row"]) for r in back.collect())
 
 
+def test_words_beyond_are_joined_once_for_neighbouring_rows(spark):
+    """300 rows of the same words in one partition: two neighbourhoods, so each word is joined twice."""
+    df = spark.createDataFrame([(k, "one two three") for k in range(300)], "row_id int, a string").coalesce(1)
+    vocab = replace(build_vocab(df, "a"), shipped_words=0)
+    got = encode(df, vocab, {"a": "ids"})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
+    listed = got._jdf.queryExecution().analyzed().toString().count("Join LeftOuter")
+    assert listed == 1
+    back = decode(got, vocab, {"ids": "b"}).collect()
+    assert sorted((r.row_id, r.b) for r in back) == [(k, "one two three") for k in range(300)]
+
+
 def test_shipped_words_are_looked_up_in_one_pass(spark):
     df = spark.createDataFrame([(1, "a b", "c")], "row_id int, a string, b string")
     vocab = build_vocab(df, "a", "b")
