@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from duelframe.functions.tokens import (
     EOS_ID,
@@ -30,8 +31,10 @@ from duelframe.session import kept
 # megabytes. Words beyond are joined.
 SHIPPED_WORDS = 500_000
 SHIPPED_LENGTH = 64
-# For words beyond, two to this power neighbouring rows share one list of them.
-TOGETHER = 8
+# For words beyond, neighbouring rows with about so many words share one list of them. Their
+# arrays are made again in pieces of about so many words, which are what a task holds as text.
+TOGETHER = 1 << 21
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -98,20 +101,45 @@ def build_vocab(df: DataFrame, *texts: str, size: int | None = None) -> Vocabula
     return Vocabulary(table if size is None else table.where(F.col("token_id") < FIRST_WORD_ID + size))
 
 
-def _lists(values: pa.Array, like: pa.Array) -> pa.ListArray:
-    """Lists of ``values`` as long as the lists of ``like``, and null where those are."""
-    lengths = pc.fill_null(pc.list_value_length(like), 0)
-    ends = pc.cumulative_sum(lengths.cast(pa.int32()))
+def _lists(values: pa.Array, lengths: pa.Array) -> pa.ListArray:
+    """Lists of ``values`` with these lengths, and null where those are."""
+    ends = pc.cumulative_sum(pc.fill_null(lengths, 0).cast(pa.int32()))
     offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
-    missing = like.is_null() if like.null_count else None
+    missing = lengths.is_null() if lengths.null_count else None
     return pa.ListArray.from_arrays(offsets, values, mask=missing)
 
 
-def encode(df: DataFrame, vocab: Vocabulary, columns: dict[str, str]) -> DataFrame:
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Rows as runs (first, after the last) with equal shares of the values, ``most`` or so each; ``ends`` adds up the values."""
+    if not len(ends):
+        return
+    total = int(ends[-1])
+    of = np.maximum(ends - 1, 0) * (total // most + 1) // max(total, 1)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    yield from zip(starts.tolist(), [*starts[1:].tolist(), len(ends)], strict=True)
+
+
+def _packed(arrays: dict[str, pa.Array]) -> bytes:
+    """Arrays of one length as compressed bytes."""
+    sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_pydict(arrays)
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+
+
+def encode(
+    df: DataFrame, vocab: Vocabulary, columns: dict[str, str], keep: Sequence[str] | None = None
+) -> DataFrame:
     """Add id arrays: ``columns`` maps a text column to the array's name.
 
     Frequent words are looked up inside Arrow batches, where the rows are, for all
-    columns in one pass. See ``_filled`` for other words.
+    columns in one pass. See ``_filled`` for other words. ``keep`` names the columns
+    of ``df`` that the result has, all unless given: what is written and shuffled for
+    other words has no others.
     """
     shared = vocab.shipped
 
@@ -121,7 +149,7 @@ def encode(df: DataFrame, vocab: Vocabulary, columns: dict[str, str]) -> DataFra
 
     table = vocab.table.select(F.col("token").alias("_value"), F.col("token_id").alias("_found"))
     values = {ids: words(F.col(text), WORD_OR_EOS) for text, ids in columns.items()}
-    return _filled(df, values, look_up, "string", "int", None if vocab.complete else table, UNK_ID)
+    return _filled(df, values, look_up, "string", "int", None if vocab.complete else table, UNK_ID, keep)
 
 
 def decode(
@@ -129,10 +157,11 @@ def decode(
     vocab: Vocabulary,
     columns: dict[str, str],
     skip_special_tokens: bool = False,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add texts: ``columns`` maps an id array to the text's name.
 
-    Words are joined by a blank. An id without a word is an error.
+    Words are joined by a blank. An id without a word is an error. ``keep`` as in ``encode``.
     """
     shared = vocab.shipped
 
@@ -145,7 +174,7 @@ def decode(
 
     table = vocab.table.select(F.col("token_id").alias("_value"), F.col("token").alias("_found"))
     values = {text: kept_ids(ids) for ids, text in columns.items()}
-    spelled = _filled(df, values, spell, "int", "string", None if vocab.complete else table, None)
+    spelled = _filled(df, values, spell, "int", "string", None if vocab.complete else table, None, keep)
     return spelled.withColumns({text: F.array_join(text, " ") for text in values})
 
 
@@ -160,66 +189,119 @@ def _filled(
     kind: str,
     table: DataFrame | None,
     unknown: int | None,
+    keep: Sequence[str] | None,
 ) -> DataFrame:
     """Add arrays: for each value what the look-up has, or else what ``table`` has, or ``unknown``.
 
     Without ``unknown`` a value that neither has is an error. Without a table nothing
-    is joined. Otherwise rows are written with what the look-up has. Of the values
-    that it doesn't have, each is joined to the table once for some neighbouring
-    rows, and the rows meet that list, whatever keys they have. Rows without such
-    values stay out of it.
+    is joined. Otherwise rows are written in blocks of neighbours: the rows, their
+    distinct values, and each value as a place among these. Of the values that the
+    look-up doesn't have, each is joined to the table once for a block, and the block
+    meets that list, whatever keys its rows have. Rows without such values are in
+    blocks of their own and stay out of it.
     """
+    others = [c for c in (df.columns if keep is None else keep) if c not in values]
+
+    def quoted(name: str) -> Column:
+        return F.col("`" + name.replace("`", "``") + "`")
 
     def complete(batch: pa.Array) -> pa.Array:
         found = look_up(batch.flatten())
         if found.null_count and unknown is None:
             raise ValueError(OUTSIDE)
-        return _lists(found if unknown is None else found.fill_null(unknown), batch)
+        return _lists(found if unknown is None else found.fill_null(unknown), pc.list_value_length(batch))
 
     if table is None:
         complete = F.arrow_udf(complete, f"array<{kind}>")
-        return df.withColumns({name: complete(value) for name, value in values.items()})
-
-    def opened(batch: pa.Array) -> pa.Array:
-        """What the look-up has, and the values that it doesn't have, in order."""
-        flat = batch.flatten()
-        found = look_up(flat)
-        missing = found.is_null()
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy())
-        before = np.concatenate([[0], np.cumsum(missing.to_numpy(zero_copy_only=False))])
-        offsets = pa.array(before[np.concatenate([[0], ends])], pa.int32())
-        rest = pa.ListArray.from_arrays(offsets, flat.filter(missing))
-        return pa.StructArray.from_arrays([_lists(found, batch), rest], ["found", "open"])
-
-    opened = F.arrow_udf(opened, f"struct<found:array<{kind}>,open:array<{given}>>")
+        whole = df.withColumns({name: complete(value) for name, value in values.items()})
+        return whole if keep is None else whole.select(*[quoted(c) for c in [*others, *values]])
+
     each = range(len(values))
-    place = F.monotonically_increasing_id()  # the partition's number, and 33 bits of the place in it
+
+    def block(rows: pa.RecordBatch, distinct: pa.Array, found: pa.Array, places: np.ndarray, near: int) -> pa.RecordBatch:
+        """Rows with the lengths of their arrays, and the places of all values, here by frequency and by bytes."""
+        counts = np.bincount(places, minlength=len(distinct))
+        order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        nth = np.empty(len(distinct), "<u4")
+        nth[order] = np.arange(len(order))
+        parts = nth[places].view("u1").reshape(-1, 4)
+        distinct, found = distinct.take(pa.array(order)), found.take(pa.array(order))
+        rest = distinct.filter(found.is_null())
+        arrays = {
+            "_near": pa.array([near]),
+            "_rows": pa.array([_packed(dict(zip(rows.schema.names, rows.columns, strict=True)))]),
+            "_places": pa.array([_packed({str(k): pa.array(np.ascontiguousarray(parts[:, k])) for k in range(4)})]),
+            "_known": pa.array([_packed({"known": found})]),
+            "_open": pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest),
+        }
+        return pa.RecordBatch.from_pydict(arrays)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            sizes = sum(pc.fill_null(pc.list_value_length(batch[f"_{nth}"]), 0).to_numpy() for nth in each)
+            for start, end in _runs(np.cumsum(sizes, dtype="int64"), TOGETHER):
+                some = batch.slice(start, end - start)
+                lists = [some[f"_{nth}"] for nth in each]
+                lengths = [pc.list_value_length(x) for x in lists]
+                rows = pa.RecordBatch.from_pydict({"_in": some["_in"]} | {f"_{nth}": lengths[nth] for nth in each})
+                coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode(null_encoding="encode")
+                found, places = look_up(coded.dictionary), coded.indices.to_numpy()
+                missing = found.is_null().to_numpy(zero_copy_only=False)
+                counts = np.concatenate([pc.fill_null(x, 0).to_numpy() for x in lengths])
+                before = np.concatenate([[0], np.cumsum(missing[places], dtype="int32")])
+                misses = np.diff(before[np.concatenate([[0], np.cumsum(counts, dtype="int64")])])
+                late = misses.reshape(len(each), -1).any(axis=0)
+                for which in (late, ~late):
+                    if which.all():
+                        yield block(rows, coded.dictionary, found, places, near)
+                    elif which.any():
+                        own = places[np.repeat(np.tile(which, len(each)), counts)]
+                        yield block(rows.filter(pa.array(which)), coded.dictionary, found, own, near)
+                    near += 1
+
+    def filled(rows: pa.Scalar, places: pa.Scalar, found: pa.Array) -> Iterator[pa.RecordBatch]:
+        """The rows of a block and their arrays, some at a time."""
+        rows = _unpacked(rows)
+        nth_value = np.stack([x.to_numpy() for x in _unpacked(places).columns], axis=1).reshape(-1).view("<u4")
+        lengths = [rows[f"_{nth}"] for nth in each]
+        ends = [np.cumsum(pc.fill_null(x, 0).to_numpy(), dtype="int64") for x in lengths]
+        first = np.cumsum([0] + [x[-1] for x in ends])
+        for start, end in _runs(sum(ends), PIECE):
+            arrays = {"_in": rows["_in"].slice(start, end - start)}
+            for nth in each:
+                since, until = (first[nth] + (ends[nth][k - 1] if k else 0) for k in (start, end))
+                flat = found.take(pa.array(nth_value[since:until]))
+                arrays[f"_found{nth}"] = _lists(flat, lengths[nth].slice(start, end - start))
+            yield pa.RecordBatch.from_pydict(arrays)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, places, known in zip(*[batch[c] for c in ("_rows", "_places", "_known")], strict=True):
+                yield from filled(rows, places, _unpacked(known)["known"])
+
+    def patched(rows: pa.Table, late: pa.Table) -> pa.Table:
+        rows, late = rows.combine_chunks(), late.combine_chunks()
+        known, found = _unpacked(rows["_known"][0])["known"], late["_found"].combine_chunks()
+        at = np.empty(known.null_count, "int64")
+        at[late["_nth"].to_numpy()] = np.arange(late.num_rows)
+        found = pc.replace_with_mask(known, known.is_null(), found.take(pa.array(at)))
+        return pa.Table.from_batches(filled(rows["_rows"][0], rows["_places"][0], found))
+
     looked = df.select(
-        F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("_in"),
-        F.shiftright(place, TOGETHER).alias("_near"),
-        *[opened(value).alias(f"_{nth}") for nth, value in enumerate(values.values())],
+        F.struct(*[quoted(c) for c in others]).alias("_in"), *[value.alias(f"_{nth}") for nth, value in enumerate(values.values())]
     )
-    marked = kept(looked, "looked-up")
-    some = sum((F.size(f"_{nth}.open") for nth in each), F.lit(0)) > 0
-    rest = marked.select("_near", F.explode(F.concat(*[F.col(f"_{nth}.open") for nth in each])).alias("_value")).distinct()
+    shape = f"_near long, _rows binary, _places binary, _known binary, _open array<{given}>"
+    marked = kept(looked.mapInArrow(blocks, shape), "looked-up", {"compression": "zstd", "parquet.block.row.count.limit": "4"})
+    some = F.size("_open") > 0
     instead = F.raise_error(F.lit(OUTSIDE)).cast(kind) if unknown is None else F.lit(unknown)
-    listed = rest.join(table, "_value", "left")
-    listed = listed.select(F.col("_near").alias("_of"), "_value", F.coalesce("_found", instead).alias("_found"))
-
-    def patched(rows: pa.Table, late: pa.Table) -> pa.Table:
-        keys, found = late["_value"].combine_chunks(), late["_found"].combine_chunks()
-        arrays = {"_in": rows["_in"]}
-        for nth in each:
-            known, rest = (rows[f"_{part}{nth}"].combine_chunks() for part in ("found", "open"))
-            flat = known.flatten()
-            new = found.take(pc.index_in(rest.flatten(), value_set=keys))
-            arrays[f"_found{nth}"] = _lists(pc.replace_with_mask(flat, flat.is_null(), new), known)
-        return pa.table(arrays)
-
-    parts = [F.col(f"_{nth}.{part}").alias(f"_{part}{nth}") for nth in each for part in ("found", "open")]
-    near = marked.where(some).select("_in", "_near", *parts).groupBy("_near").cogroup(listed.groupBy("_of"))
+    rest = marked.where(some).select(F.col("_near").alias("_of"), F.posexplode("_open").alias("_nth", "_value"))
+    listed = rest.join(table, "_value", "left").select("_of", "_nth", F.coalesce("_found", instead).alias("_found"))
+    near = marked.where(some).select("_near", "_rows", "_places", "_known").groupBy("_near").cogroup(listed.groupBy("_of"))
     arrays = [f"_found{nth}" for nth in each]
-    done = marked.where(~some).select("_in", *[F.col(f"_{nth}.found").alias(f"_found{nth}") for nth in each])
-    whole = done.unionByName(near.applyInArrow(patched, done.schema))
-    others = [F.col("_in")[c].alias(c) for c in df.columns if c not in values]
-    return whole.select(*others, *[F.col(a).alias(name) for a, name in zip(arrays, values, strict=True)])
+    found = StructType([looked.schema["_in"], *StructType.fromDDL(", ".join(f"{a} array<{kind}>" for a in arrays))])
+    done = marked.where(~some).select("_rows", "_places", "_known").mapInArrow(opened, found)
+    whole = done.unionByName(near.applyInArrow(patched, found))
+    return whole.select(
+        *[F.col("_in")[c].alias(c) for c in others], *[F.col(a).alias(name) for a, name in zip(arrays, values, strict=True)]
+    )

@@ -1,5 +1,6 @@
 """Chat rendering, tokens, vocabulary, ROUGE."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -21,6 +22,7 @@ from duelframe.functions import (
     truncate_pad,
     words,
 )
+from duelframe.operators import vocabulary
 from duelframe.operators.rouge import ROUGE_KINDS
 from duelframe.operators import Vocabulary, build_vocab, decode, encode, rouge_l, rouge_l_sum, rouge_n
 from duelframe.operators.rouge import _common_length, _common_places
@@ -326,3 +328,50 @@ def test_ranges_of_a_vocabulary_follow_one_another(spark):
     want = {w: 3 + k for k, w in enumerate(sorted(n, key=lambda w: (-n[w], w)))}
     assert {r.token: r.token_id for r in table} == want and all(r.n == n[r.token] for r in table)
     assert build_vocab(df.limit(0), "t").table.count() == 0
+
+
+def kept_files(df):
+    return [f.removeprefix("file:") for f in df.inputFiles() if "looked-up" in f]
+
+
+def test_words_beyond_take_little_disk(spark):
+    """Rows are written packed, without columns that the result doesn't have; a word once for all neighbours."""
+    rng = random.Random(3)
+    made = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    rows = [(k, " ".join(rng.choice(made) for _ in range(500))) for k in range(600)]
+    df = spark.createDataFrame(rows, "row_id int, a string").coalesce(1)
+    vocab = replace(build_vocab(df, "a"), shipped_words=0)
+    ids = encode(df, vocab, {"a": "ids"}, keep=["row_id"])
+    back = decode(ids, vocab, {"ids": "b"}, keep=["row_id"])
+    assert (ids.columns, back.columns) == (["row_id", "ids"], ["row_id", "b"])
+    for made_of in (ids, back):
+        written = sum(os.path.getsize(f) for f in kept_files(made_of))
+        assert 0 < written < sum(len(t) for _, t in rows) / 3
+    listed = spark.read.parquet(*kept_files(ids)).agg(F.sum(F.size("_open")).alias("n")).first().n
+    assert listed == len({w for _, t in rows for w in t.split()})
+    assert sorted((r.row_id, r.b) for r in back.collect()) == rows
+
+
+@pytest.mark.parametrize("together, piece", [(1, 1), (7, 3), (1 << 21, 1 << 18)])
+def test_blocks_of_any_size_give_the_same_rows(spark, monkeypatch, together, piece):
+    """Rows with and without words beyond, without words, null; more than one column, columns of any type."""
+    monkeypatch.setattr(vocabulary, "TOGETHER", together)
+    monkeypatch.setattr(vocabulary, "PIECE", piece)
+    texts = ["a b a", "a a", None, "", "rare a words", "b", "other rare things here and a b"]
+    df = spark.range(len(texts) * 3).select(
+        "id",
+        F.array(*[F.lit(t) for t in texts])[(F.col("id") % len(texts)).cast("int")].alias("a.b"),
+        F.when(F.col("id") % 2 == 0, "b z").alias("`c`"),
+        F.timestamp_seconds("id").alias("at"),
+        F.struct(F.lit(1).alias("x"), F.array(F.col("id").cast("decimal(9,2)")).alias("y")).alias("s"),
+        F.create_map(F.lit("k"), F.lit(b"v")).alias("m"),
+    )
+    names = df.select(F.col("`a.b`").alias("x"), F.col("```c```").alias("y"), "*")
+    shipped = replace(build_vocab(names, "x", "y"), shipped_words=2)
+    shown = lambda d: sorted(map(repr, d.collect()))
+    full = replace(shipped, shipped_words=50_000)
+    got, want = encode(names, shipped, {"x": "i", "y": "j"}), encode(names, full, {"x": "i", "y": "j"})
+    assert got.columns == want.columns and shown(got) == shown(want)
+    back, whole = (decode(got, v, {"i": "p", "j": "q"}, keep=["x", "y", "a.b"]) for v in (shipped, full))
+    assert back.columns == whole.columns == ["x", "y", "a.b", "p", "q"] and shown(back) == shown(whole)
+    assert back.count() == df.count() and back.where("not (x <=> p and y <=> q)").count() == 0

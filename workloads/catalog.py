@@ -478,12 +478,12 @@ def _build_vocab(spark, sf_dir):
 _DOCUMENT_IDS = encode_sql("e", "documents", "doc_id", "text", "ids")
 
 
-def _document_ids(spark, sf_dir, **more):
+def _document_ids(spark, sf_dir, keep=None, **more):
     documents = sources.spread(
         t.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
     )
     vocab = replace(t.vocabulary(spark, sf_dir), **more)
-    return vocab, encode(documents, vocab, {"text": "ids"})
+    return vocab, encode(documents, vocab, {"text": "ids"}, keep)
 
 
 _ENCODED = f"""WITH {VOCAB_SQL}, {_DOCUMENT_IDS}
@@ -514,8 +514,8 @@ def _decode_text(spark, sf_dir):
 
 @query("decode_text_joined", _DECODED)
 def _decode_text_joined(spark, sf_dir):
-    vocab, rows = _document_ids(spark, sf_dir, shipped_words=0)
-    return decode(rows, vocab, {"ids": "words"}).select("doc_id", "words")
+    vocab, rows = _document_ids(spark, sf_dir, keep=["doc_id"], shipped_words=0)
+    return decode(rows, vocab, {"ids": "words"}, keep=["doc_id"])
 
 
 @query(
